@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import byte_bpe, mixing
+from inquest.llm import byte_bpe, chunking, mixing, style_tree, warc
 from inquest.llm.common import table
 
 
@@ -16,6 +16,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op3_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return chunking.compare_edited(table(spark, sf_dir, "documents"))
+
+
+def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return style_tree.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token and round-trip digests of every document."""
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -24,9 +39,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_chunking": op3_chunking,
+        "op4_style_tree": op4_style_tree,
+        "op6_warc": op6_warc,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL}
+    return {"op1_mixing": mixing.SQL, "op6_warc": warc.SQL}
