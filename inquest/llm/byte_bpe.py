@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from inquest.llm.common import slices, text_of
+from inquest.llm.common import in_arrow, slices, text_of
 
 # The White_Space code points and the contractions of the pattern.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -269,7 +269,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Merged:
     """Slice -> its ids as little-endian 32-bit bytes, kept between batches while they hold under `limit` characters."""
 
-    def __init__(self, path: str, limit: int = 4_000_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         self.path, self.limit, self.size = path, limit, 0
         self.ids: dict[str, bytes] = {}
 
@@ -298,7 +298,7 @@ def tokens(path: str) -> list[bytes]:
     return out
 
 
-def encode_texts(texts: list[str], path: str) -> Iterator[tuple[bytes, bytes]]:
+def encode_texts(texts: list[str], path: str, offsets: bool = True) -> Iterator[tuple[bytes, ...]]:
     """For each text its ids and the code point at which each of its slices begins, both as little-endian 32-bit bytes."""
     for a, b in slices(texts):
         part = texts[a:b]
@@ -312,7 +312,8 @@ def encode_texts(texts: list[str], path: str) -> Iterator[tuple[bytes, bytes]]:
         ids_of = merged(path).of(pieces).__getitem__
         for k, begin in enumerate(firsts.tolist()):
             i, j = cuts[k], cuts[k + 1]
-            yield b"".join(map(ids_of, pieces[i:j])), (opens[i:j] - begin).astype("<u4").tobytes()
+            ids = b"".join(map(ids_of, pieces[i:j]))
+            yield (ids, (opens[i:j] - begin).astype("<u4").tobytes()) if offsets else (ids,)
 
 
 def _mapped(df: DataFrame, column: str, names: list[str], make: Callable[[list], Iterator[tuple]]) -> DataFrame:
@@ -326,18 +327,20 @@ def _mapped(df: DataFrame, column: str, names: list[str], make: Callable[[list],
             new = [pa.array([m[i] for m in made], pa.binary()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *new], names=[*kept, *names])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, tokenizer: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """`df` with `ids` and `offsets`, both binary arrays of little-endian unsigned 32-bit integers.
 
-    `ids` are the tokens of the whole text; `offsets` are the code points at which its pre-tokens begin.
+    `ids` are the tokens of the whole text; `offsets` are the code points at which its pre-tokens begin;
+    offsets=False leaves them out.
     Null and empty texts have no ids. Rows, repeated ones too, are kept as they are; existing
     columns called `ids` or `offsets` are replaced. No shuffle: a row depends on itself alone.
     """
     made = df.withColumn(text, text_of(text))
-    return _mapped(made, text, ["ids", "offsets"], lambda texts: encode_texts(texts, tokenizer))
+    names = ["ids", "offsets"] if offsets else ["ids"]
+    return _mapped(made, text, names, lambda texts: encode_texts(texts, tokenizer, offsets))
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
@@ -353,7 +356,7 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 of its encoded and again decoded text."""
-    coded = encode(docs.select("doc_id", "text"), tokenizer).select("doc_id", "ids")
+    coded = encode(docs.select("doc_id", "text"), tokenizer, offsets=False).select("doc_id", "ids")
     return decode(coded, tokenizer).select(
         F.col("doc_id").cast(LongType()).alias("doc_id"),
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +43,23 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: StructType | str, rows: int = 1000) -> DataFrame:
+    """`df.mapInArrow(run, schema)` over batches of at most `rows` rows, so that long texts do not pile up in a worker.
+
+    The session's batch size is lowered where it is above that: it is read when the query runs, not when it is planned.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(size)) <= rows:
+        df.sparkSession.conf.set(size, str(rows))
+    return df.mapInArrow(run, schema)
+
+
 def own_key(column: str) -> Column:
     """`column` as an expression that hides how it is partitioned, so that a join deals it again and can split a hot key."""
     return F.bitwise_not(F.bitwise_not(F.col(column))).alias(column)
 
 
-def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` characters each, so that work arrays stay small whatever the batch holds."""
     begin = size = 0
     for i, t in enumerate(texts):
