@@ -269,7 +269,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Merged:
     """Slice -> its ids as little-endian 32-bit bytes, kept between batches while they hold under `limit` characters."""
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = 3_000_000):
         self.path, self.limit, self.size = path, limit, 0
         self.ids: dict[str, bytes] = {}
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from inquest.llm.common import batch, text_of
+from inquest.llm.common import batch, in_arrow, text_of
 
 #: Bytes of a chunk: shortest, target and longest; bits that must be zero before and behind the target.
 SHORTEST, TARGET, LONGEST, STRICT_BITS, LOOSE_BITS = 8, 32, 128, 6, 3
@@ -105,7 +105,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), made], names=[*(f.name for f in kept), "fingerprint"])
 
     named = docs.select(*(f.name for f in kept), text_of(text).alias("_text"))
-    return named.mapInArrow(run, StructType([*kept, StructField("fingerprint", StringType())]))
+    return in_arrow(named, run, StructType([*kept, StructField("fingerprint", StringType())]))
 
 
 def edited(text: str, following: str) -> str:
@@ -148,7 +148,7 @@ def _in_buckets(docs: DataFrame) -> DataFrame:
                 some = b.take(pa.array(first))
                 yield batch(arrow, {"doc_id": some.column("doc_id"), "text": some.column("text"), "bucket": place, "guest": np.ones(len(first), bool)})
 
-    return docs.mapInArrow(run, "doc_id long, text string, bucket int, guest boolean")
+    return in_arrow(docs, run, "doc_id long, text string, bucket int, guest boolean")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -197,4 +197,4 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             yield batch(arrow, {k: [d[i] for d in done] for i, (k, _) in enumerate(fields)})
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(run, schema)
+    return in_arrow(dealt, run, schema)

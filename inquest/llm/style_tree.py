@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from inquest.llm.common import batch, stored, text_of
+from inquest.llm.common import batch, in_arrow, stored, text_of
 
 #: A node is judged on this many pages of a host at least, and goes below this importance.
 LEAST_PAGES, LOW = 5, 0.2
@@ -195,7 +195,7 @@ def style_nodes(pages: DataFrame) -> DataFrame:
                 rows = list(seen)
                 yield batch(arrow, {k: [r[i] for r in rows] for i, k in enumerate(arrow.names[:-1])} | {"n": [seen[r] for r in rows]})
 
-    counts = pages.select("host", "html").mapInArrow(count, schema).groupBy("host", "node", "root", "content").agg(F.sum("n").alias("n"))
+    counts = in_arrow(pages.select("host", "html"), count, schema).groupBy("host", "node", "root", "content").agg(F.sum("n").alias("n"))
     own = F.when(F.col("content") >= 0, F.col("n"))
     found = counts.groupBy("host", "node", "root").agg(
         F.max(F.when(F.col("content") < 0, F.col("n"))).alias("n_pages"), F.sum(own).alias("total"), F.sum(own * F.ln(own)).alias("entropy")
@@ -231,7 +231,7 @@ def extract(pages: DataFrame, url: str = "url", content: str = "html") -> DataFr
             made = pa.array([main_text(page, set(low or ()), bool(varied)) for page, low, varied in rows], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), made], names=[*(f.name for f in kept), "text"])
 
-    return joined.mapInArrow(run, schema)
+    return in_arrow(joined, run, schema)
 
 
 def main_texts(pages: DataFrame) -> DataFrame:

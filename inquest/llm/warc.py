@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inquest.llm.common import batch, shared_path, stored, text_of
+from inquest.llm.common import batch, in_arrow, shared_path, stored, text_of
 
 #: Payloads below this many bytes are never stored as revisits.
 LEAST_REVISIT = 100
@@ -196,7 +196,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         if written:
             yield batch(arrow, {k: [w[i] for w in written] for i, k in enumerate(arrow.names)})
 
-    return stored(rows.mapInArrow(run, "archive string, n_records long, n_bytes long"), "manifest")
+    return stored(in_arrow(rows, run, "archive string, n_records long, n_bytes long"), "manifest")
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None, payloads: bool = True) -> DataFrame:
@@ -236,7 +236,7 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None =
                 if rows:
                     yield batch(pa.schema(fields), {k: [r[k] for r in rows] for k, _ in fields})
 
-    return found.mapInArrow(run, schema)
+    return in_arrow(found, run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
