@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import byte_bpe, chunking, mixing, style_tree, warc
+from inquest.llm import byte_bpe, chunking, embeddings, mixing, quality, style_tree, warc
 from inquest.llm.common import table
 
 
@@ -31,6 +31,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token and round-trip digests of every document."""
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -42,6 +52,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chunking": op3_chunking,
         "op4_style_tree": op4_style_tree,
         "op6_warc": op6_warc,
+        "op8_embeddings": op8_embeddings,
+        "op9_quality": op9_quality,
         "op10_byte_bpe": op10_byte_bpe,
     }
 
