@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import byte_bpe, chunking, embeddings, mixing, quality, style_tree, warc
+from inquest.llm import byte_bpe, chunking, embeddings, mixing, pii, quality, style_tree, warc
 from inquest.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op4_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.main_texts(table(spark, sf_dir, "pages"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.span_digests(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -51,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op3_chunking": op3_chunking,
         "op4_style_tree": op4_style_tree,
+        "op5_pii": op5_pii,
         "op6_warc": op6_warc,
         "op8_embeddings": op8_embeddings,
         "op9_quality": op9_quality,
