@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import byte_bpe, chunking, embeddings, mixing, pii, quality, style_tree, warc
+from inquest.llm import byte_bpe, chunking, embeddings, jaccard, mixing, pii, quality, style_tree, warc
 from inquest.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all vectors."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -58,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_style_tree": op4_style_tree,
         "op5_pii": op5_pii,
         "op6_warc": op6_warc,
+        "op7_jaccard": op7_jaccard,
         "op8_embeddings": op8_embeddings,
         "op9_quality": op9_quality,
         "op10_byte_bpe": op10_byte_bpe,
