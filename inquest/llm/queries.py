@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import byte_bpe, chunking, embeddings, jaccard, mixing, pii, quality, style_tree, warc
+from inquest.llm import byte_bpe, chunking, embeddings, jaccard, mixing, passages, pii, quality, style_tree, warc
 from inquest.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that any two documents share."""
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op3_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return chunking.compare_edited(table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_passages": op2_passages,
         "op3_chunking": op3_chunking,
         "op4_style_tree": op4_style_tree,
         "op5_pii": op5_pii,
