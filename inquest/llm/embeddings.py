@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import batch, in_arrow, stored
+from inquest.llm.common import batch, in_arrow, some_rows, stored
 from inquest.llm.components import components
 
 #: Vectors per cell aimed at, the most cells for a dimension, and the vectors that centres are fitted to.
@@ -61,7 +61,7 @@ def _matrix(vectors: list[np.ndarray]) -> np.ndarray:
 def fit_cells(distinct: DataFrame, vector: str = "embedding") -> dict[int, np.ndarray]:
     """Centres by dimension, from a sample of bounded size (the first SAMPLE vectors by a hash)."""
     n = distinct.count()
-    table = distinct.select(vector).orderBy(F.xxhash64(vector)).limit(SAMPLE).toArrow()
+    table = some_rows(distinct.select(vector), SAMPLE, vector).toArrow()
     found: dict[int, list[np.ndarray]] = {}
     for chunk in table.column(0).chunks:
         for v in _unit(chunk):

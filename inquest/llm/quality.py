@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from inquest.llm.common import in_arrow, text_of
+from inquest.llm.common import in_arrow, some_rows, text_of
 
 #: Labelled texts used, per class, for the dictionaries and for the calibration, and the characters of each that are read: bounds of the fit.
 DICTIONARY_TEXTS, CALIBRATION_TEXTS, FIT_CHARS = 1200, 1500, 8192
@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     most = DICTIONARY_TEXTS + CALIBRATION_TEXTS
     picked = None
     for quality in (0, 1):
-        one = usable.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        one = some_rows(usable.where(F.col("quality") == quality), most, "doc_id")
         picked = one if picked is None else picked.unionByName(one)
     read = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, FIT_CHARS).alias("text"))
     rows = read.join(F.broadcast(picked), "doc_id").select("quality", "doc_id", "text").collect()  # at most 2 * most ids

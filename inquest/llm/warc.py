@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inquest.llm.common import batch, in_arrow, shared_path, stored, text_of
+from inquest.llm.common import batch, in_arrow, shared_path, some_rows, stored, text_of
 
 #: Payloads below this many bytes are never stored as revisits.
 LEAST_REVISIT = 100
@@ -136,8 +136,8 @@ def frames(archive: bytes) -> Iterator[bytes]:
 
 def train(pages: DataFrame, content: str = "html") -> bytes | None:
     """A dictionary from a bounded sample of the pages; None where they are too few or too small for one."""
-    sample = pages.select(F.encode(F.substring(text_of(content), 1, SAMPLE_BYTES), "UTF-8").alias("x")).where(F.octet_length("x") > 0)
-    sample = sample.withColumn("h", F.xxhash64("x")).orderBy("h").limit(SAMPLE_PAGES)
+    cut = F.encode(F.substring(text_of(content), 1, SAMPLE_BYTES), "UTF-8").alias("x")
+    sample = some_rows(pages.where(F.length(content) > 0).select("page_id", "url", cut), SAMPLE_PAGES, "page_id", "url")
     parts = [bytes(r.x) for r in sample.select("x").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes() if len(parts) >= 16 else None
