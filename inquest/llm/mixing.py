@@ -43,10 +43,10 @@ def rates(docs: DataFrame, weights: dict | None = None, source: str = "source",
         kind = docs.schema[source].dataType.simpleString()
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], f"key {kind}, weight double")
         weighed = counts.join(given, counts[source].eqNullSafe(given["key"]), "left").select(counts[source], "n_docs", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    totals = weighed.agg(F.sum("weight").alias("all_weight"), F.sum("n_docs").alias("all_docs"))
-    mix = F.lit(float(size)) if size is not None else F.col("all_docs")
-    rate = F.when(F.col("all_weight") > 0, F.col("weight") / F.col("all_weight") * mix / F.col("n_docs")).otherwise(0.0)
-    return weighed.crossJoin(F.broadcast(totals)).select(source, "n_docs", rate.alias("rate"))  # totals: one row
+    weighed = stored(weighed, "weights")
+    total, all_docs = weighed.agg(F.sum("weight"), F.sum("n_docs")).first()
+    rate = F.col("weight") / F.lit(total) * F.lit(float(all_docs if size is None else size)) / F.col("n_docs") if total else F.lit(0.0)
+    return weighed.select(source, "n_docs", rate.alias("rate"))
 
 
 def draws(rate: Column) -> Column:
@@ -74,7 +74,7 @@ def replicate(docs: DataFrame, weights: dict | None = None, seed: int = 42, sour
     be null, empty or of any length. An empty table gives an empty mix.
     """
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rate = stored(rates(docs, weights, source, size), "rates")
+    rate = rates(docs, weights, source, size)
     table = rate.select(
         F.col(source).alias("_source"),
         F.when(F.col("rate") > 0, draws(F.col("rate"))).otherwise(0).alias("_draws"),
