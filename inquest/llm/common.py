@@ -1,41 +1,17 @@
-"""Helpers shared by the operators: table access, shared storage and Arrow batches."""
+"""Helpers shared by the operators: samples, Arrow batches, and storage from the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from inquest.storage import shared_dir, shared_path, stored, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named table below `sf_dir`, read through Spark."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; a temporary one is set only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="inquest-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path of this name in the shared folder."""
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written to the shared folder and read again: lineage ends there, and its size is known to later joins."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["batch", "in_arrow", "own_key", "shared_dir", "shared_path", "slices", "some_rows", "stored", "table", "text_of"]
 
 
 def text_of(name: str) -> Column:

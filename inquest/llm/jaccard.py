@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from inquest.llm.common import batch, in_arrow, stored, text_of
 from inquest.llm.components import components
-from inquest.llm.shingles import mix, shingles, words_of
+from inquest.llm.shingles import mix, outer, shingles, words_of
 
 #: Sizes of a band differ by less than this factor, the largest between linked sets.
 BAND = 1.25
@@ -42,7 +42,10 @@ def links(n_both: int, n_left: int, n_right: int) -> bool:
 
 
 def signatures(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of a set (sorted distinct 64-bit numbers): any two sets that link have one in common."""
+    """Signatures of a set (sorted distinct 64-bit numbers): any two sets that link have one in common.
+
+    Linked sets of n and m elements differ in at most (n + m) / 9; m is at most BAND * n, and what the window holds.
+    """
     n = len(elements)
     if not n:
         return np.zeros(0, np.uint64)
@@ -51,8 +54,9 @@ def signatures(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     place, value, out = mix(elements) >> np.uint64(33), mix(elements, 0xC4CEB9FE1A85EC53), []
     band = int(math.log(n) / math.log(BAND) + 1e-9)
     for window in (band, band + 1):  # a window holds the sizes of two bands
-        differ = 2 * (math.ceil(BAND ** (window + 1) - 1e-9) - 1) // 9
-        groups = int(SLACK * (differ + 1)) + 1
+        most = math.ceil(BAND ** (window + 1) - 1e-9) - 1
+        groups = int(SLACK * (2 * most // 9 + 1)) + 1
+        differ = (n + min(int(BAND * n), most)) // 9
         group = (place % np.uint64(groups)).astype(np.int64)
         size, rare_size = np.bincount(group, minlength=groups), np.bincount(group[rare], minlength=groups)
         order = np.argsort(group, kind="stable")
@@ -294,21 +298,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        found, of, size = [], [], 0
+
+        def combined() -> pa.RecordBatch:
+            value, by = np.concatenate(found), np.concatenate(of)
+            keep = outer(value, by)
+            return batch(signs, {"sign": value[keep], "d1": by[keep]})
+
         for b in batches:
-            found, of, size = [], [], 0
             for s, d1, _ in _sets(b.column("text").to_pylist()):
                 if d1 not in seen:
                     seen.add(d1)
                     found.append(signatures(s, often.value).view(np.int64))
                     of.append(np.full(len(found[-1]), d1, np.int64))
                     size += len(of[-1])
-                if size > 200_000:
-                    yield batch(signs, {"sign": np.concatenate(found), "d1": np.concatenate(of)})
+                if size > 500_000:
+                    yield combined()
                     found, of, size = [], [], 0
-            if found:
-                yield batch(signs, {"sign": np.concatenate(found), "d1": np.concatenate(of)})
+        if found:
+            yield combined()
 
-    signed = in_arrow(docs.select("text"), sign, "sign long, d1 long")
+    # Dealt as they come: in the order of documents the digests compress well, and hot signatures are combined already.
+    signed = in_arrow(docs.select("text"), sign, "sign long, d1 long").repartition("sign")
     shared = signed.groupBy("sign").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("sign", "low")
     shared = stored(shared, "shared-signatures")
     bits, words = _filter(shared)

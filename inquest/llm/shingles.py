@@ -58,3 +58,13 @@ def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
     for i in range(k):
         h = h * np.uint64(_WORD) + words[i : n - k + 1 + i]
     return mix(h)
+
+
+def outer(key: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which rows to keep so that every key has its least and its largest value: a map-side combine that keeps the order of rows."""
+    order = np.lexsort((value, key))
+    edge = np.ones(len(key) + 1, bool)
+    edge[1:-1] = key[order[1:]] != key[order[:-1]]
+    keep = np.zeros(len(key), bool)
+    keep[order[edge[:-1] | edge[1:]]] = True
+    return keep
