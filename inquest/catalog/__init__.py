@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from inquest.catalog import graph, records, temporal  # noqa: F401  they register their queries
+from inquest.catalog.registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,22 +17,31 @@ _DAY = r"(\d{4})-?(\d{2})-?(\d{2})"
 _STAMP = rf"^{_DAY}(?:[T ](\d{{2}})(?::?(\d{{2}}))?(?::?(\d{{2}})(?:[.,](\d{{1,9}}))?)?)?(Z|[+-]\d{{2}}(?::?\d{{2}})?)?$"
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def iso_instant(text: Column, zone: str = DEFAULT_ZONE) -> Column:
     """An ISO 8601 stamp, extended or basic, as an instant; null for other forms. A date alone is local midnight.
 
     Stamps without an offset are in `zone`. The session must run in UTC, as all sessions of this library do.
     """
+
+    def of(p: Column) -> Column:
+        two = lambda i: F.rpad(p[i], 2, "0")
+        plain = F.concat(p[1], F.lit("-"), p[2], F.lit("-"), p[3], F.lit(" "), two(4), F.lit(":"), two(5), F.lit(":"), two(6), F.lit("."), F.rpad(F.substring(p[7], 1, 6), 6, "0"))
+        return F.struct(F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("local"), p[8].alias("offset"), F.regexp_replace(p[8], "[^0-9]", "").alias("digits"))
+
+    def shifted(x: Column) -> Column:
+        minutes = F.substring(x["digits"], 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(x["digits"], 3, 2).try_cast("int"), F.lit(0))
+        signed = F.when(F.substring(x["offset"], 1, 1) == "-", -minutes).otherwise(minutes)
+        aware = F.timestamp_micros(F.unix_micros(x["local"]) - signed.cast("long") * 60_000_000)
+        return F.when(x["offset"] == "Z", x["local"]).when(x["offset"] == "", F.to_utc_timestamp(x["local"], zone)).otherwise(aware)
+
     s = F.trim(text)
-    part = lambda i: F.regexp_extract(s, _STAMP, i)
-    two = lambda i: F.when(part(i) == "", "00").otherwise(part(i))
-    plain = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), two(4), F.lit(":"), two(5), F.lit(":"), two(6), F.lit("."), F.rpad(F.substring(part(7), 1, 6), 6, "0"))
-    local = F.when(s.rlike(_STAMP), F.try_to_timestamp(plain, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
-    offset = part(8)
-    digits = F.regexp_replace(offset, "[^0-9]", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
-    signed = F.when(F.substring(offset, 1, 1) == "-", -minutes).otherwise(minutes)
-    aware = F.timestamp_micros(F.unix_micros(local) - signed.cast("long") * 60_000_000)
-    return F.when(offset == "Z", local).when(offset == "", F.to_utc_timestamp(local, zone)).otherwise(aware)
+    parts = F.array(*(F.regexp_extract(s, _STAMP, i) for i in range(9)))
+    return F.when(s.rlike(_STAMP), _bound(_bound(parts, of), shifted))
 
 
 def first_value(attributes: Column, keys: tuple[str, ...]) -> Column:
@@ -44,15 +55,19 @@ def interval(attributes: Column, zone: str = DEFAULT_ZONE) -> Column:
     A start or an end outranks a point; a missing side takes the other's value. Text that is no stamp, and a start
     behind its end, are problems, and leave start and stop null.
     """
-    start, stop, point = (first_value(attributes, k) for k in (START_KEYS, STOP_KEYS, POINT_KEYS))
-    ranged = start.isNotNull() | stop.isNotNull()
-    low_text = F.when(ranged, F.coalesce(start, stop)).otherwise(point)
-    high_text = F.when(ranged, F.coalesce(stop, start)).otherwise(point)
-    low, high = iso_instant(low_text, zone), iso_instant(high_text, zone)
-    bad = low_text.isNotNull() & (low.isNull() | high.isNull() | (low > high))
-    return F.struct(
-        F.when(~bad, low).alias("start"), F.when(~bad, high).alias("stop"), low_text.isNotNull().alias("dated"), F.coalesce(bad, F.lit(True)).alias("problem")
-    )
+
+    def texts(m: Column) -> Column:
+        start, stop, point = (first_value(m, k) for k in (START_KEYS, STOP_KEYS, POINT_KEYS))
+        return F.struct(F.coalesce(start, stop, point).alias("low"), F.when(start.isNotNull() | stop.isNotNull(), F.coalesce(stop, start)).otherwise(point).alias("high"))
+
+    def instants(t: Column) -> Column:
+        return F.struct(iso_instant(t["low"], zone).alias("low"), iso_instant(t["high"], zone).alias("high"), t["low"].isNotNull().alias("dated"))
+
+    def judged(x: Column) -> Column:
+        bad = F.coalesce(x["dated"] & (x["low"].isNull() | x["high"].isNull() | (x["low"] > x["high"])), F.lit(True))
+        return F.struct(F.when(~bad, x["low"]).alias("start"), F.when(~bad, x["high"]).alias("stop"), x["dated"].alias("dated"), bad.alias("problem"))
+
+    return _bound(_bound(_bound(attributes, texts), instants), judged)
 
 
 def bucket(at: Column, minutes: int) -> Column:

@@ -87,13 +87,13 @@ def activity_spikes(events: DataFrame, target: Span, baseline: Span | None = Non
     return found.where("score > 0").withColumn("severity", severity(F.col("score")))
 
 
-def _pair_totals(events: DataFrame, span: Span) -> DataFrame:
+def pair_totals(events: DataFrame, span: Span) -> DataFrame:
     return by_pair(_between(events, span)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
 def novel_relationships(events: DataFrame, target: Span, baseline: Span | None = None) -> DataFrame:
     """NOVEL_RELATIONSHIP: pairs with events in the target window and none in the baseline."""
-    new = _pair_totals(events, target).join(_pair_totals(events, baseline_for(target, baseline)), ["src", "dst"], "left_anti").where(F.col("n") >= NOVEL_EVENTS)
+    new = pair_totals(events, target).join(pair_totals(events, baseline_for(target, baseline)), ["src", "dst"], "left_anti").where(F.col("n") >= NOVEL_EVENTS)
     score = F.least(F.lit(1.0), F.col("n") / (NOVEL_EVENTS + 1.0))
     return new.select("src", "dst", F.col("n").alias("target_count"), score.alias("score"), severity(score).alias("severity"))
 
@@ -106,7 +106,7 @@ def interaction_bursts(events: DataFrame, target: Span, baseline: Span | None =
 
 def cross_community(events: DataFrame, members: DataFrame, target: Span, baseline: Span | None = None) -> DataFrame:
     """CROSS_COMMUNITY_ACTIVITY: new pairs between components of the baseline's graph. members: node_id, component (isolated nodes are their own)."""
-    new = _pair_totals(events, target).join(_pair_totals(events, baseline_for(target, baseline)), ["src", "dst"], "left_anti")
+    new = pair_totals(events, target).join(pair_totals(events, baseline_for(target, baseline)), ["src", "dst"], "left_anti")
     of = lambda end: members.select(F.col("node_id").alias(end), F.col("component").alias(f"{end}_component"))
     apart = new.join(of("src"), "src").join(of("dst"), "dst").where("src_component <> dst_component")
     score = 0.5 + 0.5 * F.col("n") / (F.col("n") + 1.0)
