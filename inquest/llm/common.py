@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from inquest.storage import shared_dir, shared_path, stored, table
 
-__all__ = ["batch", "in_arrow", "own_key", "shared_dir", "shared_path", "slices", "some_rows", "stored", "table", "text_of"]
+__all__ = ["batch", "in_arrow", "shared_dir", "shared_path", "slices", "some_rows", "stored", "table", "text_of"]
 
 
 def text_of(name: str) -> Column:
@@ -43,11 +43,6 @@ def in_arrow(df: DataFrame, run: Callable, schema: StructType | str, rows: int =
     return df.mapInArrow(run, schema)
 
 
-def own_key(column: str) -> Column:
-    """`column` as an expression that hides how it is partitioned, so that a join deals it again and can split a hot key."""
-    return F.bitwise_not(F.bitwise_not(F.col(column))).alias(column)
-
-
 def slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` characters each, so that work arrays stay small whatever the batch holds."""
     begin = size = 0
