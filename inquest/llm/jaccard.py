@@ -32,8 +32,8 @@ from inquest.llm.shingles import mix, outer, shingles, words_of
 BAND = 1.25
 #: Groups per needed signature; from this share of documents on, and at most so many, elements count as frequent.
 SLACK, FREQUENT, MOST_FREQUENT = 1.5, 0.001, 1_000_000
-#: Bits of the filter for shared signatures at most; sets of a task in a cluster; sets each member of a larger cluster meets first.
-FILTER_BITS, BLOCK, PIVOTS = 1 << 27, 128, 4
+#: Bits of the filter for shared signatures at most, and bits that one sets; sets of a task in a cluster; sets each member of a larger cluster meets first.
+FILTER_BITS, FILTER_PLACES, BLOCK, PIVOTS = 1 << 28, 6, 128, 4
 
 
 def links(n_both: int, n_left: int, n_right: int) -> bool:
@@ -119,23 +119,31 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
-def _places(sign: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of the filter that a signature sets: two parts of the number, which is well mixed already."""
-    most = np.int64(64 * words - 1)
-    return sign & most, (sign >> np.int64(33)) & np.int64(0x7FFFFFFF) & most
+def _places(sign: np.ndarray, words: int) -> list[np.ndarray]:
+    """The bits of the filter that a signature sets: steps of one part of the number from another (it is well mixed already)."""
+    first, step = sign & np.int64(0x7FFFFFFF), ((sign >> np.int64(33)) & np.int64(0x7FFFFFFF)) | np.int64(1)
+    return [(first + i * step) & np.int64(64 * words - 1) for i in range(FILTER_PLACES)]
 
 
-def _filter(shared: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter (words of 64 bits, their number) of the signatures in `shared`. Its size is bounded: past it, more pass, none is lost."""
+def passes(sign: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which signatures the filter lets through: all that were put in, and few others."""
+    hit = np.ones(len(sign), bool)
+    for x in _places(sign, len(bits)):
+        hit &= (bits[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) > 0
+    return hit
+
+
+def bloom(shared: DataFrame) -> np.ndarray:
+    """A Bloom filter, in words of 64 bits, of the signatures (`sign`) in `shared`. Its size is bounded: past it, more pass, none is lost."""
     n = shared.count()
-    words = 1 << max(0, min(FILTER_BITS, 16 * max(1, n)).bit_length() - 7)
-    most = F.lit(64 * words - 1)
-    places = F.array(F.col("sign").bitwiseAND(most), F.shiftrightunsigned("sign", 33).bitwiseAND(most))
+    words = 1 << max(0, min(FILTER_BITS, 32 * max(1, n)).bit_length() - 6)
+    first, step = F.expr("sign & 2147483647"), F.expr("shiftrightunsigned(sign, 33) | 1")
+    places = F.array(*((first + i * step).bitwiseAND(F.lit(64 * words - 1)) for i in range(FILTER_PLACES)))
     set_ = shared.select(F.explode(places).alias("x")).select(F.shiftright("x", 6).alias("at"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("bit"))
     bits = set_.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(words, np.uint64)
     out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    return out, words
+    return out
 
 
 class Trie:
@@ -322,8 +330,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     signed = in_arrow(docs.select("text"), sign, "sign long, d1 long").repartition("sign")
     shared = signed.groupBy("sign").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("sign", "low")
     shared = stored(shared, "shared-signatures")
-    bits, words = _filter(shared)
-    bits = docs.sparkSession.sparkContext.broadcast(bits)
+    bits = docs.sparkSession.sparkContext.broadcast(bloom(shared))
     kept = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signs", pa.list_(pa.int64())), ("elements", pa.binary())])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +338,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             rows: dict[str, list] = {k: [] for k in kept.names}
             for doc_id, (s, d1, d2) in zip(b.column("doc_id").to_pylist(), _sets(b.column("text").to_pylist())):
                 sign = signatures(s, often.value).view(np.int64)
-                hit = np.ones(len(sign), bool)
-                for x in _places(sign, words):
-                    hit &= (bits.value[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) > 0
+                hit = passes(sign, bits.value)
                 if hit.any():
                     for k, v in zip(kept.names, (doc_id, d1, d2, sign[hit], s.tobytes())):
                         rows[k].append(v)
