@@ -10,6 +10,7 @@ from inquest.catalog.registry import query
 from inquest.catalog.temporal import WIDE_MINUTES, YEAR, YEAR_BEFORE
 from inquest.operators import anomaly, centrality, communities as roles, paths, projection
 from inquest.operators.components import components
+from inquest.plans import workflow
 from inquest.storage import stored, table
 
 MET = "m AS (SELECT DISTINCT l_orderkey AS event_id, o_orderstatus AS status, 'C' || o_custkey AS src, 'S' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
@@ -184,3 +185,18 @@ def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = projection.normalized(stored(centrality.path_centralities(g, views.pair_nodes(g)), "path-metrics"), "betweenness_centrality")
     found = anomaly.convergence(views.interactions(spark, sf_dir), scaled, YEAR, YEAR_BEFORE, WIDE_MINUTES)
     return found.select("entity_id", "target_event_count", F.round("score", 6).alias("score"), "severity")
+
+
+@query()
+def workflow_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small investigation of the strong graph: the status and the size of what each step found."""
+    g = strong(spark, sf_dir)
+    nodes = views.pair_nodes(g).select("node_id", F.lit("ENTITY").alias("kind"), F.when(F.col("node_id").startswith("C"), "PERSON").otherwise("ORGANIZATION").alias("type"), F.col("node_id").alias("label"))
+    edges = g.select(F.concat_ws("-", "src", "dst").alias("edge_id"), F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit(None).cast("timestamp").alias("start_at"), F.lit(None).cast("timestamp").alias("end_at"), F.lit(1.0).alias("confidence"))
+    events = views.interactions(spark, sf_dir).withColumn("event_id", F.col("event_id").cast("string")).withColumn("confidence", F.lit(1.0))
+    types = {"target_entity_types": ["PERSON", "ORGANIZATION"], "include_event_interactions": False}
+    steps = [workflow.Step("expand", "EXPAND_NETWORK", {"seed_entity_ids": [seed(g)], "depth": 2}), workflow.Step("groups", "COMMUNITY_DETECTION", types), workflow.Step("report", "REPORT", {"title": "Network of one supplier"})]
+    links = [workflow.Link("1", "expand", "groups"), workflow.Link("2", "groups", "report")]
+    _, results = workflow.execute(workflow.Workflow("W1", steps, links), workflow.Graph(nodes, events, edges))
+    size = lambda r: sum(v.count() for v in r.output.values() if isinstance(v, DataFrame))
+    return spark.createDataFrame([(r.step, r.type, r.status, size(r)) for r in results], "step string, type string, status string, n_rows long")
