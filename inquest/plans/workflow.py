@@ -11,12 +11,14 @@ import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inquest.operators import anomaly, centrality, communities, paths, projection, temporal
+from inquest.operators.components import components
 from inquest.storage import stored
 
 TYPES = {"target_entity_types", "include_event_interactions"}
@@ -218,17 +220,35 @@ def _analytics(graph: Graph, c: dict, near: list[Result]) -> dict:
     return {"metrics": metrics, "communities": communities.communities(pairs, ids), "key_individuals": communities.key_individuals(metrics), "bridges": communities.bridges(pairs, metrics)}
 
 
+def _apart(events: DataFrame, ids: DataFrame, target: anomaly.Span, baseline: anomaly.Span) -> DataFrame:
+    """New pairs between components of the baseline's pairs; events count that have an eligible end, and isolated eligible entities are their own component."""
+    eligible = lambda end: ids.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_in"))
+    sides = ("source_entity_id", "target_entity_id")
+    near = stored(events.join(eligible(sides[0]), sides[0], "left").join(eligible(sides[1]), sides[1], "left").where(" OR ".join(f"{s}_in" for s in sides)).select(events.columns), "eligible-events")
+    old = anomaly.pair_totals(near, baseline)
+    parts = stored(components(old.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("node").alias("node_id"), "component"), "baseline-components")
+    alone = ids.join(parts, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))
+    return anomaly.cross_community(near, parts.unionByName(alone), target, baseline)
+
+
 def _anomalies(graph: Graph, c: dict, near: list[Result]) -> dict:
-    """All detectors, ranked. The types of entities do not narrow this step."""
+    """All five detectors, ranked. The types of entities do not narrow this step; components and path centralities are those of persons."""
     target = _span(c, "target_")
     baseline = anomaly.baseline_for(target, _span(c, "baseline_") if "baseline_start" in c else None)
     title = lambda text: F.lit(text)
+    pairs, ids = _network(graph, {})
+    central = centrality.path_centralities(pairs, ids)
+    labels = graph.nodes.select(F.col("node_id").alias("entity_id"), "label").dropDuplicates(["entity_id"])
+    converging = anomaly.convergence(graph.events, central, target, baseline).join(labels, "entity_id", "left")
+    role = F.concat(F.lit("Network-bridge role coincides with unusual activity: "), F.coalesce("label", "entity_id"))
     parts = [
         anomaly.as_findings(anomaly.activity_spikes(graph.events, target, baseline), "ACTIVITY_SPIKE", "peak_count", title("Unusual activity spike")),
         anomaly.as_findings(anomaly.novel_relationships(graph.events, target, baseline), "NOVEL_RELATIONSHIP", "target_count", title("New interaction detected")),
         anomaly.as_findings(anomaly.interaction_bursts(graph.events, target, baseline), "INTERACTION_BURST", "peak_count", title("Unusual interaction burst")),
+        anomaly.as_findings(_apart(graph.events, ids, target, baseline), "CROSS_COMMUNITY_ACTIVITY", "target_count", title("New cross-community interaction")),
+        anomaly.as_findings(converging, "STRUCTURAL_ACTIVITY_CONVERGENCE", "target_event_count", role),
     ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = reduce(DataFrame.unionByName, parts)
     return {"findings": anomaly.ranked(every, c.get("max_findings", anomaly.MOST_FINDINGS))}
 
 
