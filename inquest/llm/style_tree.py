@@ -8,7 +8,9 @@ occurs there. A content that is on c of a node's m pages has entropy log_m(c):
 mean entropy over its contents (or presentations, for a node without text), so
 that template branches score near 0 and articles near 1. Low branches go; what
 markup itself names as menu, advert, form or comment goes as well, since
-adverts with changing text look important to the tree.
+adverts with changing text look important to the tree. A name in a class, id or
+role is only a sign: a branch around the main root, or with nearly all of the
+text, stays. The main root is the kind of root with most of the important text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from inquest.llm.common import batch, in_arrow, stored, text_of
 
 #: A node is judged on this many pages of a host at least, and goes below this importance.
 LEAST_PAGES, LOW = 5, 0.2
+#: A branch whose class, id or role names it as no article stays when it holds this share of a page's text at least.
+STORY = 0.75
 #: Template nodes inside an article go only where the host's articles score this at least (not on hosts of copies).
 VARIED = 0.5
 
@@ -62,19 +66,23 @@ OUTSIDE, MAIN, ARTICLE = range(3)
 
 
 class Block:
-    """A run of text without a block boundary inside: its style node, text, place and why it may be left out."""
+    """A run of text without a block boundary inside: its style node, text, place and why it may be left out.
 
-    __slots__ = ("node", "text", "root", "named", "heading")
+    signs: the elements around it whose class, id or role holds a word of NAMED, and `below` how many of them stand
+    outside of its root element.
+    """
+
+    __slots__ = ("node", "text", "root", "named", "heading", "signs", "below")
 
-    def __init__(self, node: int, text: str, root: int, named: bool, heading: bool):
-        self.node, self.text, self.root, self.named, self.heading = node, text, root, named, heading
+    def __init__(self, node: int, text: str, root: int, named: bool, heading: bool, signs: tuple, below: int):
+        self.node, self.text, self.root, self.named, self.heading, self.signs, self.below = node, text, root, named, heading, signs, below
 
 
 def blocks(page: str, shapes: Counter | None = None) -> list[Block]:
     """The text blocks of a page in order; `shapes` gets (node, hash of child tags) of each block element."""
     out: list[Block] = []
-    # (tag, node, place, left out, inside a heading, child tags) of each open element
-    stack = [("", 0, OUTSIDE, False, False, [])]
+    # (tag, node, place, left out, inside a heading, child tags, signs, signs outside of the root) of each open element
+    stack = [("", 0, OUTSIDE, False, False, [], (), 0)]
     text: list[str] = []
 
     def flush() -> None:
@@ -83,11 +91,11 @@ def blocks(page: str, shapes: Counter | None = None) -> list[Block]:
             text.clear()
             if s := " ".join((html.unescape(s) if "&" in s else s).split()):
                 block = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
-                _, _, root, named, heading, _ = stack[-1]
-                out.append(Block(block[1], s, root, named, heading))
+                _, _, root, named, heading, _, signs, below = stack[-1]
+                out.append(Block(block[1], s, root, named, heading, signs, below))
 
     def close() -> None:
-        tag, node, _, _, _, children = stack.pop()
+        tag, node, _, _, _, children, _, _ = stack.pop()
         if shapes is not None and children and tag in BLOCK:
             shapes[node, xxhash.xxh64_intdigest(" ".join(children)) >> 1] += 1
 
@@ -136,7 +144,7 @@ def blocks(page: str, shapes: Counter | None = None) -> list[Block]:
                 close_to({"p"}, {"td", "th", "table", "article", "section", "div", "button", "blockquote"})
         if tag in SAME:
             close_to(SAME[tag], LIMITS[tag])
-        _, above, root, named, heading, children = stack[-1]
+        _, above, root, named, heading, children, signs, below = stack[-1]
         style, words, whole = tag, set(), False
         if len(m[3]) > 1:
             found = {a.lower(): (b or c or d).lower() for a, b, c, d in _ATTRIBUTE.findall(m[3])}
@@ -146,13 +154,16 @@ def blocks(page: str, shapes: Counter | None = None) -> list[Block]:
             named = named or bool(_HIDDEN.search(m[3]))
         if tag in BLOCK:
             children.append(tag)
-        named = named or tag in NEVER or (tag not in ("html", "body", "main") and bool(words & NAMED))
+        named = named or tag in NEVER
+        outside = len(signs)
+        if tag not in ("html", "body", "main") and words & NAMED:
+            signs = (*signs, m.start())
         named = named or ((tag == "header" or "header" in words) and root != ARTICLE and tag not in ("html", "body", "main", "article") and tag not in HEADING)
         if tag == "article" or whole and root != ARTICLE and "articlebody" in m[3].lower():
-            root = ARTICLE
+            root, below = (ARTICLE, outside) if root != ARTICLE else (root, below)
         elif (tag == "main" or whole) and root == OUTSIDE:
-            root = MAIN
-        stack.append((tag, xxhash.xxh64_intdigest(f"{above}/{style}") >> 1, root, named, heading or tag in HEADING, []))
+            root, below = MAIN, outside
+        stack.append((tag, xxhash.xxh64_intdigest(f"{above}/{style}") >> 1, root, named, heading or tag in HEADING, [], signs, below))
     flush()
     while len(stack) > 1:
         close()
@@ -165,8 +176,24 @@ def main_text(page: str, low: set[int], varied: bool) -> str:
     low: the host's style nodes of low importance; varied: whether the host's articles differ.
     """
     found = [b for b in blocks(page) if not b.named]
-    root = max((b.root for b in found), default=OUTSIDE)
-    found = [b for b in found if b.root == root]
+    size: Counter = Counter()  # important text of each element with a sign, and of the page
+    for b in found:
+        size.update(dict.fromkeys((*b.signs, "page"), len(b.text) if b.node not in low else 0))
+    large = {e for e, n in size.items() if n and n >= STORY * size["page"]}
+    inside: Counter = Counter()  # important text of each kind of root and the signs around it, but for what has more signs
+    for b in found:
+        if b.node not in low and large.issuperset(b.signs[b.below :]):
+            inside[b.root, b.signs[: b.below]] += len(b.text)
+    best = max((k for k in inside if k[0] != OUTSIDE), key=lambda k: (inside[k], k[0]), default=None)
+    plain = max((inside[k] for k in inside if large.issuperset(k[1])), default=0)
+    around = set(best[1]) if best and inside[best] >= plain else set()
+    found = [b for b in found if large.union(around).issuperset(b.signs)]
+    of_root: Counter = Counter()
+    for b in found:
+        of_root[b.root] += len(b.text) if b.node not in low else 0
+    root = max(of_root, key=lambda r: (of_root[r], r), default=OUTSIDE)
+    first = next((i for i, b in enumerate(found) if b.root == root), 0)
+    found = [b for i, b in enumerate(found) if b.root >= root or (b.root == MAIN and b.heading and i < first)]
     if low and (root == OUTSIDE or varied):
         kept = [b for b in found if b.node not in low or (b.heading and root != OUTSIDE)]
         found = kept or found
