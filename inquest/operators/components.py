@@ -30,9 +30,9 @@ def components(links: DataFrame) -> DataFrame:
         known = mark
         ends = edges.select(F.inline(F.array(F.struct(F.col("low_end").alias("node"), F.col("low_end").alias("other")), F.struct(F.col("high").alias("node"), F.col("low_end").alias("other")))))
         least = stored(ends.groupBy("node").agg(F.min("other").alias("low")), "least")
-        large = stored(_attach(edges, "low_end", least).select("high", F.col("low").alias("low_end")).distinct(), "large-star")
+        large = stored(_attach(edges, "low_end", least).select("high", F.col("low").alias("low_end")).distinct(), "large-star", (edges, least))
         least = stored(large.groupBy(F.col("high").alias("node")).agg(F.min("low_end").alias("low")), "least")
         pairs = F.array(F.struct("high", F.col("low").alias("low_end")), F.struct(F.col("low_end").alias("high"), F.col("low").alias("low_end")))
-        edges = stored(_attach(large, "high", least).select(F.inline(pairs)).where("high <> low_end").distinct(), "links")
+        edges = stored(_attach(large, "high", least).select(F.inline(pairs)).where("high <> low_end").distinct(), "links", (large, least))
     nodes = edges.select(F.col("high").alias("node"), F.col("low_end").alias("component"))
     return nodes.unionByName(edges.select(F.col("low_end").alias("node"), F.col("low_end").alias("component")).distinct())
