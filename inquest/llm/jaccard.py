@@ -1,39 +1,39 @@
 """Exact n-gram Jaccard join by prefix trees.
 
 Two documents link when their shingle sets have a Jaccard similarity of at
-least 0.8. Equal sets are one class. Candidate classes meet by signatures that
-lose no link: sets of similar size that are this alike differ in at most d
-elements, so if the elements are dealt by hash into more than d groups, some
-group is equal in both. Of G > d groups the d + 1 that come first in an order
-common to all sets (most rare elements first) are enough; the order keeps
-groups of frequent elements (stated lines, passages in many documents) out, as
-a prefix filter does. Classes that share a signature form candidate clusters.
-Inside a cluster the sets, in one global element order, are stored in a trie;
-each set walks it, shares the overlap of common prefixes, and leaves subtrees
-whose remaining lengths cannot reach the threshold.
+least 0.8. Equal sets are one class. A set of n elements that links with any
+other has at most n / 5 elements that no other set holds. So a sample of
+elements, the same for all sets (those with the smallest hashes), is counted
+first: sets with more unshared ones than that link with nothing and go. What
+stays is ordered as a whole, the rarest elements among these sets first;
+linked sets share one of their first n / 5 + 1 elements (a prefix filter).
+Classes that such keys join form candidate clusters. Inside a cluster the sets,
+in one global element order, are stored in a trie; each set walks it, shares
+the overlap of common prefixes, and leaves subtrees whose remaining lengths
+cannot reach the threshold.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inquest.llm.common import batch, in_arrow, stored, text_of
 from inquest.operators.components import components
-from inquest.llm.shingles import mix, outer, shingles, words_of
+from inquest.llm.shingles import shingles, words_of
 
-#: Sizes of a band differ by less than this factor, the largest between linked sets.
-BAND = 1.25
-#: Groups per needed signature; from this share of documents on, and at most so many, elements count as frequent.
-SLACK, FREQUENT, MOST_FREQUENT = 1.5, 0.001, 1_000_000
-#: Bits of the filter for shared signatures at most, and bits that one sets; sets of a task in a cluster; sets each member of a larger cluster meets first.
-FILTER_BITS, FILTER_PLACES, BLOCK, PIVOTS = 1 << 28, 6, 128, 4
+#: From this share of documents on, and at most so many, elements count as frequent.
+FREQUENT, MOST_FREQUENT = 0.001, 1_000_000
+#: Sets of up to so many elements are sampled whole, of larger ones this share of all hashes.
+SAMPLED_WHOLE, SAMPLE = 100, 0.4
+#: Sets of a task in a cluster; sets that all members of a larger cluster meet first.
+BLOCK, PIVOTS = 128, 4
 
 
 def links(n_both: int, n_left: int, n_right: int) -> bool:
@@ -41,31 +41,29 @@ def links(n_both: int, n_left: int, n_right: int) -> bool:
     return 9 * n_both >= 4 * (n_left + n_right)
 
 
-def signatures(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of a set (sorted distinct 64-bit numbers): any two sets that link have one in common.
+def limit(n: int) -> np.uint64:
+    """The hash below which elements of a set of n are sampled: not larger for a larger set."""
+    return np.uint64(2**64 - 1 if n <= SAMPLED_WHOLE else int(SAMPLE * 2**64))
 
-    Linked sets of n and m elements differ in at most (n + m) / 9; m is at most BAND * n, and what the window holds.
+
+def is_frequent(elements: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which elements are in the sorted `frequent`."""
+    if not len(frequent):
+        return np.zeros(len(elements), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)] == elements
+
+
+def sampled(elements: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a set (sorted distinct hashes) the sampled elements that are not frequent, whether each counts for the set, and how many of those must be shared.
+
+    A set that links with this one has at most 5 / 4 of its elements, so elements below the limit of that size are
+    sampled there as well: those count. At most a fifth of the set is not in the other; frequent elements are shared.
     """
     n = len(elements)
-    if not n:
-        return np.zeros(0, np.uint64)
-    at = np.searchsorted(frequent, elements)
-    rare = np.ones(n, bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] != elements
-    place, value, out = mix(elements) >> np.uint64(33), mix(elements, 0xC4CEB9FE1A85EC53), []
-    band = int(math.log(n) / math.log(BAND) + 1e-9)
-    for window in (band, band + 1):  # a window holds the sizes of two bands
-        most = math.ceil(BAND ** (window + 1) - 1e-9) - 1
-        groups = int(SLACK * (2 * most // 9 + 1)) + 1
-        differ = (n + min(int(BAND * n), most)) // 9
-        group = (place % np.uint64(groups)).astype(np.int64)
-        size, rare_size = np.bincount(group, minlength=groups), np.bincount(group[rare], minlength=groups)
-        order = np.argsort(group, kind="stable")
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
-        ends = np.cumsum(size)
-        content = sums[ends] - sums[ends - size]
-        sign = mix(content ^ (np.arange(groups, dtype=np.uint64) << np.uint64(16)) ^ np.uint64(window))
-        out.append(sign[np.lexsort((sign, -size, -rare_size))[: differ + 1]])
-    return np.concatenate(out)
+    own = int(np.searchsorted(elements, limit(5 * n // 4), "right"))
+    picked = elements[: np.searchsorted(elements, limit(n), "right")]
+    often = is_frequent(picked, frequent)
+    return picked[~often], (np.arange(len(picked)) < own)[~often], own - n // 5 - int(often[:own].sum())
 
 
 def _sets(texts: list[str]) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -119,33 +117,6 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().view(np.uint64))
 
 
-def _places(sign: np.ndarray, words: int) -> list[np.ndarray]:
-    """The bits of the filter that a signature sets: steps of one part of the number from another (it is well mixed already)."""
-    first, step = sign & np.int64(0x7FFFFFFF), ((sign >> np.int64(33)) & np.int64(0x7FFFFFFF)) | np.int64(1)
-    return [(first + i * step) & np.int64(64 * words - 1) for i in range(FILTER_PLACES)]
-
-
-def passes(sign: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Which signatures the filter lets through: all that were put in, and few others."""
-    hit = np.ones(len(sign), bool)
-    for x in _places(sign, len(bits)):
-        hit &= (bits[x >> 6] >> (x & 63).astype(np.uint64)) & np.uint64(1) > 0
-    return hit
-
-
-def bloom(shared: DataFrame) -> np.ndarray:
-    """A Bloom filter, in words of 64 bits, of the signatures (`sign`) in `shared`. Its size is bounded: past it, more pass, none is lost."""
-    n = shared.count()
-    words = 1 << max(0, min(FILTER_BITS, 32 * max(1, n)).bit_length() - 6)
-    first, step = F.expr("sign & 2147483647"), F.expr("shiftrightunsigned(sign, 33) | 1")
-    places = F.array(*((first + i * step).bitwiseAND(F.lit(64 * words - 1)) for i in range(FILTER_PLACES)))
-    set_ = shared.select(F.explode(places).alias("x")).select(F.shiftright("x", 6).alias("at"), F.expr("shiftleft(1L, CAST(x & 63 AS INT))").alias("bit"))
-    bits = set_.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(words, np.uint64)
-    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy().view(np.uint64)
-    return out
-
-
 class Trie:
     """A compressed prefix tree over sets given as increasing arrays of element ranks."""
 
@@ -241,29 +212,27 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return batch(PAIRS, {"a": [x for x, _ in found], "b": [x for _, x in found]})
 
 
+def _walk(rows: pa.Table) -> pa.Table:
+    """Links of one task: the rows with `probe` walk the trie of the others."""
+    probe = rows.column("probe").to_pylist()
+    return pa.Table.from_batches([_pairs(join_block(rows.column("rep").to_pylist(), _decoded(rows.column("elements")), probe, [not p for p in probe]))])
+
+
 def _large_cluster_links(members: DataFrame) -> DataFrame:
-    """Links in clusters of over BLOCK sets. members: cluster, rep, elements.
+    """Links in clusters of over BLOCK sets. members: cluster, sets (their number), rep, elements.
 
-    Each member first meets PIVOTS members of the cluster; the members that this leaves outside the cluster's largest
-    component then meet all members, in blocks. The work is linear where copies resemble a pivot, and no link is lost.
+    PIVOTS members of the cluster first walk the tries of all members, in blocks; the members that this leaves outside the
+    cluster's largest component then meet all members, in blocks. The work is linear where copies resemble a pivot, and
+    no link is lost.
     """
-    slot = F.pmod(F.xxhash64("rep"), F.lit(PIVOTS))
-    chosen = members.groupBy("cluster", slot.alias("slot")).agg(F.min("rep").alias("rep"))
-    pivot = stored(chosen.join(members.select("rep", "elements"), "rep").groupBy("cluster").agg(F.collect_list(F.struct("rep", "elements")).alias("pivots")), "pivots")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for rep, own, pivots in zip(b.column("rep").to_pylist(), b.column("elements").to_pylist(), b.column("pivots").to_pylist()):
-                x = np.frombuffer(own, np.uint64)
-                for p in pivots:
-                    y = np.frombuffer(p["elements"], np.uint64)
-                    if p["rep"] != rep and links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                        found.append((rep, p["rep"]))
-            yield _pairs(found)
-
-    beside = members.join(pivot.withColumnRenamed("cluster", "of"), F.col("cluster") == F.col("of")).select("rep", "elements", "pivots")
-    first = stored(in_arrow(beside, meet, "a long, b long", rows=100), "pivot-links")
+    n_blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    chosen = members.groupBy("cluster", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("slot")).agg(F.min("rep").alias("rep"))
+    pivot = members.join(stored(chosen.select(F.col("rep").alias("other")), "pivots"), F.col("rep") == F.col("other"))
+    held = members.select("cluster", block(n_blocks).alias("i"), F.lit(False).alias("probe"), "rep", "elements")
+    sent = pivot.select("cluster", F.explode(span(n_blocks)).alias("i"), F.lit(True).alias("probe"), "rep", "elements")
+    first = stored(held.unionByName(sent).groupBy("cluster", "i").applyInArrow(_walk, "a long, b long"), "pivot-links")
     parts = stored(components(first), "pivot-parts")
     placed = members.select("cluster", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("cluster", "rep", F.coalesce("component", "rep").alias("part"))
     sizes = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -271,22 +240,61 @@ def _large_cluster_links(members: DataFrame) -> DataFrame:
     left = stored(placed.join(stored(largest, "largest-parts").withColumnRenamed("cluster", "of"), F.col("cluster") == F.col("of")).where("part <> main").select("cluster", "rep"), "left-over")
     if left.isEmpty():
         return first
-    counts = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_members")).join(left.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_left")), "cluster")
-    blocks = stored(counts.select(F.col("cluster").alias("of"), F.ceil(F.col("n_members") / BLOCK).cast("int").alias("n_members"), F.ceil(F.col("n_left") / BLOCK).cast("int").alias("n_left")), "blocks")
-    marked = members.join(left.select(F.col("rep").alias("other"), F.lit(True).alias("is_left")), F.col("rep") == F.col("other"), "left")
-    sized = marked.join(blocks, F.col("cluster") == F.col("of"))
-    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    struct = lambda i, j, probe: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(probe).alias("probe"))
-    as_member = F.transform(span("n_left"), lambda i: struct(i, own("n_members"), False))
-    as_probe = F.when(F.col("is_left"), F.transform(span("n_members"), lambda j: struct(own("n_left"), j, True))).otherwise(F.filter(as_member, lambda x: F.lit(False)))
-    tasks = sized.select("cluster", "rep", "elements", F.explode(F.concat(as_member, as_probe)).alias("t")).select("cluster", "rep", "elements", "t.*")
+    counts = stored(left.groupBy(F.col("cluster").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_left")), "left-blocks")
+    held = members.join(counts, F.col("cluster") == F.col("of")).select("cluster", F.explode(span(F.col("n_left"))).alias("i"), block(n_blocks).alias("j"), F.lit(False).alias("probe"), "rep", "elements")
+    one = members.join(left.select(F.col("rep").alias("other")), F.col("rep") == F.col("other")).join(counts, F.col("cluster") == F.col("of"))
+    sent = one.select("cluster", block(F.col("n_left")).alias("i"), F.explode(span(n_blocks)).alias("j"), F.lit(True).alias("probe"), "rep", "elements")
+    return first.unionByName(held.unionByName(sent).groupBy("cluster", "i", "j").applyInArrow(_walk, "a long, b long"))
 
-    def walk(rows: pa.Table) -> pa.Table:
-        probe = rows.column("probe").to_pylist()
-        return pa.Table.from_batches([_pairs(join_block(rows.column("rep").to_pylist(), _decoded(rows.column("elements")), probe, [not p for p in probe]))])
 
-    return first.unionByName(tasks.groupBy("cluster", "i", "j").applyInArrow(walk, "a long, b long"))
+def _alive(docs: DataFrame, often: Broadcast) -> DataFrame:
+    """d1 of the classes that may link: enough of their sampled elements occur in another class."""
+    schema = pa.schema([("element", pa.int64()), ("d1", pa.int64()), ("counts", pa.int8()), ("need", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            element, of, counts, need = [], [], [], []
+            for s, d1, _ in _sets(b.column("text").to_pylist()):
+                if len(s) and d1 not in seen:
+                    seen.add(d1)
+                    picked, own, least = sampled(s, often.value)
+                    element += [picked.view(np.int64), np.array([d1])]  # the last row holds what the set needs
+                    of.append(np.full(len(picked) + 1, d1))
+                    counts.append(np.append(own, False).astype(np.int8))
+                    need.append(np.append(np.full(len(picked), np.iinfo(np.int32).min, np.int32), np.int32(least)))
+            if of:
+                least = np.concatenate(need)
+                yield batch(schema, {"element": np.concatenate(element), "d1": np.concatenate(of), "counts": np.concatenate(counts), "need": pa.array(least, mask=least == np.iinfo(np.int32).min)})
+
+    dealt = in_arrow(docs.select("text"), run, "element long, d1 long, counts tinyint, need int")
+    same = Window.partitionBy("element")
+    shared = dealt.withColumns({"low": F.min("d1").over(same), "high": F.max("d1").over(same)}).where("low <> high AND counts > 0 OR need IS NOT NULL")
+    sums = shared.groupBy("d1").agg(F.sum(F.when(F.col("need").isNull(), F.lit(1)).otherwise(0)).alias("shared"), F.max("need").alias("need"))
+    return stored(sums.where("shared >= need").select("d1"), "may-link")
+
+
+def _keys(found: DataFrame) -> DataFrame:
+    """Keys of sets (key, rep): the first n / 5 + 1 elements, rarest first, that another of these sets holds; frequent elements last.
+
+    found: rep, spare (elements that are not frequent, less the n / 5 + 1), rare (those elements), firm (frequent ones in the prefix).
+    """
+    schema = pa.schema([("element", pa.int64()), ("rep", pa.int64()), ("spare", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rare = _decoded(b.column("rare"))
+            n = np.array([len(x) for x in rare], np.int64)
+            rep, spare = (np.repeat(b.column(k).to_numpy(), n) for k in ("rep", "spare"))
+            yield batch(schema, {"element": np.concatenate(rare).view(np.int64) if rare else [], "rep": rep, "spare": spare})
+
+    rows = in_arrow(found.select("rep", "spare", "rare"), run, "element long, rep long, spare int")
+    shared = rows.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("element"))).where("held > 1")
+    own = Window.partitionBy("rep")
+    ranked = shared.withColumn("n", F.count(F.lit(1)).over(own)).where("n > spare").withColumn("nth", F.row_number().over(own.orderBy("held", "element")))
+    # elements of one set only come first in its order: they are no keys, but take places of the prefix
+    rare = ranked.where("nth <= n - spare").select(F.col("element").alias("key"), "rep")
+    return stored(rare.unionByName(found.select(F.explode("firm").alias("key"), "rep")), "prefix-keys")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -294,7 +302,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null texts and texts without words have no shingles and link with nothing. Rows with equal doc_id are one document for
     the links. A null doc_id gets the component of its class of equal sets, if that has any id, else null. An empty table
-    gives an empty result. Texts do not cross the network: only digests, signatures, and the sets of candidates do.
+    gives an empty result; other columns take no part, whatever their names. Texts of any length are read whole, in slices.
+    Digests, sampled elements and the sets of candidates cross the network; texts only where their ids are too many to broadcast.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     profiles = _profiles(docs)
@@ -302,65 +311,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = profiles.where("n IS NOT NULL")
     sized = own.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(sized.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes")
-    signs = pa.schema([("sign", pa.int64()), ("d1", pa.int64())])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        found, of, size = [], [], 0
-
-        def combined() -> pa.RecordBatch:
-            value, by = np.concatenate(found), np.concatenate(of)
-            keep = outer(value, by)
-            return batch(signs, {"sign": value[keep], "d1": by[keep]})
+    alive = _alive(docs.where("doc_id IS NOT NULL"), often)
+    chosen = stored(classes.join(alive.withColumnRenamed("d1", "of"), F.col("d1") == F.col("of")).select("rep", F.col("d1").alias("c1"), F.col("d2").alias("c2")), "candidates")
+    kept = pa.schema([("rep", pa.int64()), ("spare", pa.int32()), ("rare", pa.binary()), ("often", pa.binary()), ("firm", pa.list_(pa.int64()))])
 
-        for b in batches:
-            for s, d1, _ in _sets(b.column("text").to_pylist()):
-                if d1 not in seen:
-                    seen.add(d1)
-                    found.append(signatures(s, often.value).view(np.int64))
-                    of.append(np.full(len(found[-1]), d1, np.int64))
-                    size += len(of[-1])
-                if size > 500_000:
-                    yield combined()
-                    found, of, size = [], [], 0
-        if found:
-            yield combined()
-
-    # Dealt as they come: in the order of documents the digests compress well, and hot signatures are combined already.
-    signed = in_arrow(docs.select("text"), sign, "sign long, d1 long").repartition("sign")
-    shared = signed.groupBy("sign").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low <> high").select("sign", "low")
-    shared = stored(shared, "shared-signatures")
-    bits = docs.sparkSession.sparkContext.broadcast(bloom(shared))
-    kept = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("signs", pa.list_(pa.int64())), ("elements", pa.binary())])
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for b in batches:
             rows: dict[str, list] = {k: [] for k in kept.names}
-            for doc_id, (s, d1, d2) in zip(b.column("doc_id").to_pylist(), _sets(b.column("text").to_pylist())):
-                sign = signatures(s, often.value).view(np.int64)
-                hit = passes(sign, bits.value)
-                if hit.any():
-                    for k, v in zip(kept.names, (doc_id, d1, d2, sign[hit], s.tobytes())):
+            for rep, c1, c2, (s, d1, d2) in zip(*(b.column(k).to_pylist() for k in ("rep", "c1", "c2")), _sets(b.column("text").to_pylist())):
+                if (c1, c2) == (d1, d2) and (rep, d1, d2) not in seen:
+                    seen.add((rep, d1, d2))
+                    mask = is_frequent(s, often.value)
+                    spare = int((~mask).sum()) - len(s) // 5 - 1
+                    values = (rep, spare, s[~mask].tobytes(), s[mask].tobytes(), s[mask][: max(0, -spare)].view(np.int64))
+                    for k, v in zip(kept.names, values):
                         rows[k].append(v)
             yield batch(kept, rows)
 
-    found = in_arrow(docs.where("doc_id IS NOT NULL"), candidates, "doc_id long, d1 long, d2 long, signs array<long>, elements binary")
-    found = stored(found, "candidates")
-    met = found.select("d1", F.explode("signs").alias("sign")).distinct().join(shared.withColumnRenamed("sign", "of"), F.col("sign") == F.col("of"))
-    clusters = stored(components(met.select(F.col("d1").alias("a"), F.col("low").alias("b"))), "clusters")
-    named = classes.select("rep", F.col("d1").alias("c1"), F.col("d2").alias("c2")).join(clusters, F.col("c1") == F.col("node")).select("rep", "c1", "c2", F.col("component").alias("cluster"))
-    sizes = stored(named.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1"), "cluster-sizes")
-    named = stored(named.join(sizes.withColumnRenamed("cluster", "of"), F.col("cluster") == F.col("of")).drop("of"), "cluster-members")
-    same = (F.col("doc_id") == F.col("rep")) & (F.col("d1") == F.col("c1")) & (F.col("d2") == F.col("c2"))
-    members = found.join(named, same).select("cluster", "sets", "rep", "elements")
+    asked = docs.join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "c1", "c2", "text")
+    found = stored(in_arrow(asked, fetch, "rep long, spare int, rare binary, often binary, firm array<long>"), "sets")
+    keys = _keys(found)
+    shared = stored(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select(F.col("key").alias("of"), "low"), "shared-keys")
+    met = keys.join(shared, F.col("key") == F.col("of")).select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    clusters = stored(components(met), "clusters", (keys, shared))
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("sets"))
+    named = stored(clusters.join(sizes.withColumnRenamed("component", "cluster"), F.col("component") == F.col("cluster")).select("node", "cluster", "sets"), "cluster-members")
+    members = found.join(named, F.col("rep") == F.col("node")).select("cluster", "sets", "rep", F.concat("rare", "often").alias("elements"))
 
     def walk(rows: pa.Table) -> pa.Table:
         every = [True] * rows.num_rows
         return pa.Table.from_batches([_pairs(join_block(rows.column("rep").to_pylist(), _decoded(rows.column("elements")), every, every))])
 
     linked = members.where(F.col("sets") <= BLOCK).select("cluster", "rep", "elements").groupBy("cluster").applyInArrow(walk, "a long, b long")
-    if not sizes.where(F.col("sets") > BLOCK).isEmpty():
-        linked = linked.unionByName(_large_cluster_links(stored(members.where(F.col("sets") > BLOCK).select("cluster", "rep", "elements"), "large-clusters")))
+    if not named.where(F.col("sets") > BLOCK).isEmpty():
+        linked = linked.unionByName(_large_cluster_links(stored(members.where(F.col("sets") > BLOCK), "large-clusters")))
     parts = components(stored(linked, "jaccard-links"))
     grouped = classes.join(stored(parts, "jaccard-parts"), F.col("rep") == F.col("node"), "left").where("copies > 1 OR component IS NOT NULL")
     groups = stored(grouped.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.coalesce("component", "rep").alias("component")), "jaccard-groups")

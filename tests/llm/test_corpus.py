@@ -91,18 +91,22 @@ def test_jaccard_matches_brute_force(spark, monkeypatch):
     assert got == brute.near_groups(docs)
 
 
-def test_signatures_meet_at_the_threshold():
+def test_sampled_elements_keep_every_link():
+    """Of two sets at the threshold, neither misses what it needs among the elements that both sample."""
     rng = np.random.default_rng(4)
-    for n in (4, 5, 9, 10, 45, 90, 333, 1000):
-        for _ in range(20):
-            both = rng.integers(0, 2**63, n, dtype=np.uint64)
+    none = np.zeros(0, np.uint64)
+    for n in (4, 5, 9, 10, 45, 79, 80, 81, 90, 101, 125, 333, 1000):
+        for _ in range(40):
+            both = rng.integers(0, 2**64, n, dtype=np.uint64)
             differ = n // 4  # 0.8 exactly where n is a multiple of 4
             cut = int(rng.integers(0, differ + 1))
-            extra = rng.integers(0, 2**63, differ, dtype=np.uint64)
+            extra = rng.integers(0, 2**64, differ, dtype=np.uint64)
             a, b = np.unique(np.concatenate([both, extra[:cut]])), np.unique(np.concatenate([both, extra[cut:]]))
             if jaccard.links(n, len(a), len(b)):
-                none = np.zeros(0, np.uint64)
-                assert np.intersect1d(jaccard.signatures(a, none), jaccard.signatures(b, none)).size
+                often = np.sort(rng.choice(both, n // 3, replace=False))
+                for frequent in (none, often):
+                    (x, own, need), (y, _, _) = jaccard.sampled(a, frequent), jaccard.sampled(b, frequent)
+                    assert np.isin(x[own], y).sum() >= need
 
 
 def test_embeddings_match_brute_force(spark):
