@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from inquest.storage import shared_dir, shared_path, stored, table
 
-__all__ = ["batch", "in_arrow", "shared_dir", "shared_path", "slices", "some_rows", "stored", "table", "text_of"]
+__all__ = ["batch", "in_arrow", "if_small", "shared_dir", "shared_path", "slices", "some_rows", "stored", "table", "text_of"]
 
 
 def text_of(name: str) -> Column:
@@ -32,6 +32,15 @@ def some_rows(df: DataFrame, most: int, *by: str) -> DataFrame:
     return df.orderBy(order, *by).limit(most)
 
 
+#: Rows of a few numbers that are broadcast at most.
+MOST_BROADCAST = 500_000
+
+
+def if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A stored `df` of a few narrow columns, marked for broadcast if it has at most `most` rows; a join with more rows shuffles."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def in_arrow(df: DataFrame, run: Callable, schema: StructType | str, rows: int = 1000) -> DataFrame:
     """`df.mapInArrow(run, schema)` over batches of at most `rows` rows, so that long texts do not pile up in a worker.
 

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inquest.llm.common import batch, in_arrow, stored, text_of
+from inquest.llm.common import batch, if_small, in_arrow, stored, text_of
 from inquest.operators.components import components
 from inquest.llm.shingles import shingles, words_of
 
@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                         rows[k].append(v)
             yield batch(kept, rows)
 
-    asked = docs.join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "c1", "c2", "text")
+    asked = docs.join(if_small(chosen), F.col("doc_id") == F.col("rep")).select("rep", "c1", "c2", "text")
     found = stored(in_arrow(asked, fetch, "rep long, spare int, rare binary, often binary, firm array<long>"), "sets")
     keys = _keys(found)
     shared = stored(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select(F.col("key").alias("of"), "low"), "shared-keys")
@@ -357,8 +357,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` whose document is the first (by doc_id) of its near-duplicate group.
 
-    Rows without an id stay. Texts cross the network once, to meet the decisions by doc_id.
+    Rows without an id stay, and all columns as they are. Texts cross the network only where the decisions are too many to broadcast.
     """
     groups = near_duplicates(docs, doc_id, text)
     goes = stored(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_goes")).distinct(), "duplicates")
-    return docs.join(goes, F.col(doc_id) == F.col("_goes"), "left_anti")
+    return docs.join(if_small(goes), F.col(doc_id) == F.col("_goes"), "left_anti")
