@@ -1,30 +1,34 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products inside cells, one kept per component.
 
-A vector has a home cell (its nearest centre) and is a member of every cell
-whose centre is nearly as near (within MARGIN of the best cosine). Home vectors
-of a cell are compared with all its members. With cosine 0.9 between two
-vectors, their cosines to any centre differ by little, so the one is a member
-of the other's home but for rare cases: recall is measured in the tests and the
-README. Cells of any size are cut into blocks, each pair of blocks a task.
+A vector has a home cell (its nearest centre) and is a member of the cells of its
+NEAR nearest centres: a fixed number, whatever the table holds. Home vectors of a
+cell are compared with all its members. With cosine 0.9 between two vectors, the
+centre nearest to one is among the nearest of the other but for rare cases; the
+recall is measured in the tests and the README. Tables of more than MOST_CELLS
+times CELL vectors have cells in cells: the directions from the centre to its
+vectors are clustered as well, so that cells stay small. Cells of any size are cut
+into blocks, each pair of blocks a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inquest.llm.common import batch, in_arrow, some_rows, stored
 from inquest.operators.components import components
 
-#: Vectors per cell aimed at, the most cells for a dimension, and the vectors that centres are fitted to.
+#: Vectors per cell aimed at, the most centres of a level, and the vectors that centres are fitted to.
 CELL, MOST_CELLS, SAMPLE = 256, 2048, 16_384
-#: How much less than the best cosine to a centre makes a vector a member of its cell.
-MARGIN = 0.2
-#: Rows of a block.
-BLOCK = 1024
+#: Cells that a vector is a member of; with two levels, centres of the first and cells of the second below each.
+NEAR, NEAR_FIRST, NEAR_SECOND = 16, 8, 4
+#: Home vectors and members of a task.
+HOMES, MEMBERS = 1024, 8192
 
 
 def spherical_means(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -58,8 +62,36 @@ def _matrix(vectors: list[np.ndarray]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def fit_cells(distinct: DataFrame, vector: str = "embedding") -> dict[int, np.ndarray]:
-    """Centres by dimension, from a sample of bounded size (the first SAMPLE vectors by a hash)."""
+@dataclass(frozen=True)
+class Cells:
+    """Centres of one dimension and, where the table is large, directions from a centre that part its cell again."""
+
+    first: np.ndarray
+    second: np.ndarray | None = None
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """Per unit vector the cells that it is a member of, its home first."""
+        near = x @ self.first.T
+        top = _largest(near, NEAR if self.second is None else NEAR_FIRST)
+        if self.second is None:
+            return top
+        # the part of a vector that its centre leaves, against the directions
+        both, beside = self.first @ self.second.T, x @ self.second.T
+        left = beside[:, None, :] - np.take_along_axis(near, top, 1)[:, :, None] * both[top]
+        k = min(NEAR_SECOND, len(self.second))
+        low = _largest(left.reshape(-1, len(self.second)), k).reshape(len(x), top.shape[1], k)
+        return (top[:, :, None] * len(self.second) + low).reshape(len(x), -1)
+
+
+def _largest(x: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row, the largest first."""
+    k = min(k, x.shape[1])
+    some = np.argpartition(-x, k - 1, 1)[:, :k]
+    return np.take_along_axis(some, np.argsort(-np.take_along_axis(x, some, 1), 1, kind="stable"), 1)
+
+
+def fit_cells(distinct: DataFrame, vector: str = "embedding") -> dict[int, Cells]:
+    """Cells by dimension, from a sample of bounded size (the first SAMPLE vectors by a hash)."""
     n = distinct.count()
     table = some_rows(distinct.select(vector), SAMPLE, vector).toArrow()
     found: dict[int, list[np.ndarray]] = {}
@@ -67,25 +99,39 @@ def fit_cells(distinct: DataFrame, vector: str = "embedding") -> dict[int, np.nd
         for v in _unit(chunk):
             found.setdefault(len(v), []).append(v)
     read = sum(map(len, found.values()))
-    return {d: spherical_means(_matrix(v), max(1, min(MOST_CELLS, len(v) // 4, round(n * len(v) / read / CELL)))) for d, v in found.items()}
-
-
-def _cells(vectors: list[np.ndarray], centres: dict[int, np.ndarray]) -> Iterator[tuple[list[int], int, np.ndarray, np.ndarray]]:
-    """By dimension: positions, dimension, unit vectors and cosines to its centres (one cell where there are no centres)."""
+    out = {}
+    for d, v in found.items():
+        x, wanted = _matrix(v), n * len(v) / read / CELL
+        first = spherical_means(x, max(1, min(MOST_CELLS, len(v) // 4, round(wanted))))
+        parts = min(MOST_CELLS, len(v) // 4, round(wanted / len(first)))
+        if wanted <= MOST_CELLS or parts < 2:
+            out[d] = Cells(first)
+            continue
+        near = x @ first.T
+        left = x - near.max(1)[:, None] * first[near.argmax(1)]
+        size = np.linalg.norm(left, axis=1)
+        left = left[size > 1e-9] / size[size > 1e-9, None]
+        out[d] = Cells(first, spherical_means(left, min(parts, len(left)))) if len(left) else Cells(first)
+    return out
+
+
+def _cells(vectors: list[np.ndarray], cells: dict[int, Cells]) -> Iterator[tuple[list[int], int, np.ndarray]]:
+    """By dimension, in small groups: positions, dimension, and the cells of each vector (one cell where there are no centres)."""
     by: dict[int, list[int]] = {}
     for i, v in enumerate(vectors):
         by.setdefault(len(v), []).append(i)
-    for d, rows in by.items():
-        x = _matrix([vectors[i] for i in rows])
-        yield rows, d, x, x @ centres[d].T if d in centres else np.ones((len(rows), 1))
+    for d, every in by.items():
+        for k in range(0, len(every), 128):
+            rows = every[k : k + 128]
+            yield rows, d, cells[d].of(_matrix([vectors[i] for i in rows])) if d in cells else np.zeros((len(rows), 1), np.int64)
 
 
 def _task_links(rows: pa.Table, threshold: float) -> dict:
     """Of one task's block pair: how many rows each representative is linked to, and a forest of its links."""
     role = rows.column("role").to_numpy()
     rep, copies, home = (rows.column(k).to_numpy() for k in ("rep", "copies", "home"))
-    x = np.frombuffer(b"".join(rows.column("unit").to_pylist()), np.float64).reshape(len(rep), -1)
-    cells = [frozenset(np.frombuffer(c, np.int32).tolist()) for c in rows.column("cells").to_pylist()]
+    x = _matrix(_unit(rows.column("embedding").combine_chunks()))
+    cells = rows.column("cells").to_pylist()
     h, m = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     linked = x[h] @ x[m].T >= threshold
     linked &= rep[h][:, None] != rep[m][None, :]
@@ -96,7 +142,7 @@ def _task_links(rows: pa.Table, threshold: float) -> dict:
     far = np.flatnonzero(home[m] != cell)
     for i, j in zip(*np.nonzero(linked[:, far])):
         a, b = h[i], m[far[j]]
-        if int(home[b]) not in cells[a]:
+        if home[b] not in cells[a]:
             count[b] += copies[a]
     label = rep.copy()
     while linked.any():
@@ -114,56 +160,56 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
 
     Equal vectors are compared once and counted as often as they occur. Vectors that are null, empty, zero or hold null or
     non-finite components, and vectors of another length, link with nothing. Rows with equal vec_id are vectors of their
-    own with a common component; a null vec_id gets no component. An empty table gives an empty result.
+    own with a common component; a null vec_id gets no component. An empty table gives an empty result. Other columns take
+    no part, whatever their names.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("embedding"))
     rows = rows.withColumn("key", F.when(usable("embedding"), F.md5(F.col("embedding").cast("string"))))
     reps = stored(rows.where("key IS NOT NULL AND vec_id IS NOT NULL").groupBy("key", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "vectors")
-    centres = fit_cells(reps)
+    cells = fit_cells(reps)
+    sizes = pa.schema([("dim", pa.int32()), ("cell", pa.int64()), ("homes", pa.int64()), ("members", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], list[int]] = {}
         for b in batches:
-            if b.num_rows:
-                for _, d, _, near in _cells(_unit(b.column("embedding")), centres):
-                    members = (near >= near.max(1)[:, None] - MARGIN).sum(0)
-                    homes = np.bincount(near.argmax(1), minlength=near.shape[1])
-                    yield batch(sizes, {"dim": np.full(len(homes), d, np.int32), "cell": np.arange(len(homes), dtype=np.int32), "homes": homes, "members": members})
-
-    sizes = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("homes", pa.int64()), ("members", pa.int64())])
-    counted = in_arrow(reps.select("embedding"), count, "dim int, cell int, homes long, members long").groupBy("dim", "cell").agg(F.sum("homes"), F.sum("members"))
-    blocks = {(r[0], r[1]): (max(1, -(-r[2] // BLOCK)), max(1, -(-r[3] // BLOCK))) for r in counted.collect()}  # a row for each cell
+            for _, d, own in _cells(_unit(b.column("embedding")), cells) if b.num_rows else ():
+                for k, values in enumerate((own[:, 0], own.ravel())):
+                    for c, n in zip(*(x.tolist() for x in np.unique(values, return_counts=True))):
+                        seen.setdefault((d, c), [0, 0])[k] += n
+        yield batch(sizes, {"dim": [d for d, _ in seen], "cell": [c for _, c in seen], "homes": [n for n, _ in seen.values()], "members": [n for _, n in seen.values()]})
+
+    counted = in_arrow(reps.select("embedding"), count, "dim int, cell long, homes long, members long").groupBy("dim", "cell").agg(F.sum("homes").alias("homes"), F.sum("members").alias("members"))
+    large = counted.where((F.col("homes") > HOMES) | (F.col("members") > MEMBERS)).collect()  # a row for each cell of more than one task, at most 2048 * 2048
+    blocks = {(r.dim, r.cell): (max(1, -(-r.homes // HOMES)), -(-r.members // MEMBERS)) for r in large}
     arrow = pa.schema(
-        [("dim", pa.int32()), ("cell", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("role", pa.int8()), ("rep", pa.int64()), ("copies", pa.int64())]
-        + [("home", pa.int32()), ("cells", pa.binary()), ("unit", pa.binary())]
+        [("dim", pa.int32()), ("cell", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("role", pa.int8()), ("rep", pa.int64()), ("copies", pa.int64())]
+        + [("home", pa.int64()), ("cells", pa.list_(pa.int64())), ("row", pa.int32())]
     )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: dict[str, list] = {k: [] for k in arrow.names}
-            if b.num_rows:
-                rep, copies = b.column("rep").to_pylist(), b.column("copies").to_pylist()
-                for at, d, x, near in _cells(_unit(b.column("embedding")), centres):
-                    home = near.argmax(1).tolist()
-                    member = near >= near.max(1)[:, None] - MARGIN
-                    for r, i in enumerate(at):
-                        own = np.flatnonzero(member[r]).astype(np.int32)
-                        mixed = (rep[i] * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 32
-                        for c in own.tolist():
-                            n_home, n_member = blocks[d, c]
-                            p, q = mixed % n_home, mixed % n_member
-                            tasks = {(k, q): 2 for k in range(n_home)}
-                            if c == home[r]:
-                                for k in range(n_member):
-                                    tasks[p, k] = tasks.get((p, k), 0) | 1
-                            for (k, l), role in tasks.items():
-                                for name, value in zip(arrow.names, (d, c, k, l, role, rep[i], copies[i], home[r], own.tobytes(), x[r].tobytes())):
-                                    out[name].append(value)
-                            if len(out["rep"]) >= 4096:
-                                yield batch(arrow, out)
-                                out = {k: [] for k in arrow.names}
-            yield batch(arrow, out)
-
-    dealt = in_arrow(reps.select("embedding", "rep", "copies"), deal, "dim int, cell int, i int, j int, role tinyint, rep long, copies long, home int, cells binary, unit binary")
+            if not b.num_rows:
+                continue
+            rep, copies, vector = b.column("rep").to_pylist(), b.column("copies").to_pylist(), b.column("embedding")
+            for at, d, every in _cells(_unit(vector), cells):
+                out: dict[str, list] = {k: [] for k in arrow.names}
+                for i, own in zip(at, every.tolist()):
+                    mixed = (rep[i] * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 32
+                    for c in own:
+                        n_home, n_member = blocks.get((d, c), (1, 1))
+                        p, q = mixed % n_home, mixed % n_member
+                        tasks = {(k, q): 2 for k in range(n_home)}
+                        if c == own[0]:
+                            for k in range(n_member):
+                                tasks[p, k] = tasks.get((p, k), 0) | 1
+                        for (k, l), role in tasks.items():
+                            for name, value in zip(arrow.names, (d, c, k, l, role, rep[i], copies[i], own[0], own, i)):
+                                out[name].append(value)
+                rows = batch(arrow, out)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], vector.take(rows.column("row"))], names=[*arrow.names[:-1], "embedding"])
+
+    kind = reps.schema["embedding"].dataType.simpleString()
+    dealt = in_arrow(reps.select("embedding", "rep", "copies"), deal, f"dim int, cell long, i int, j int, role tinyint, rep long, copies long, home long, cells array<long>, embedding {kind}")
     links = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
     def compare(rows: pa.Table) -> pa.Table:

@@ -128,6 +128,32 @@ def test_embeddings_match_brute_force(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("most_cells", [2048, 16])
+def test_recall_over_many_cells(spark, monkeypatch, most_cells):
+    """Pairs of cosine 0.90 to 0.92 among random vectors, over 200 cells of one level and over cells in cells."""
+    monkeypatch.setattr(embeddings, "CELL", 20)
+    monkeypatch.setattr(embeddings, "MOST_CELLS", most_cells)
+    rng, n, m = np.random.default_rng(3), 4000, 600
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x = unit(rng.normal(size=(n, 64)))
+    c, side = rng.uniform(0.901, 0.92, m)[:, None], rng.normal(size=(m, 64))
+    side = unit(side - (side * x[:m]).sum(1)[:, None] * x[:m])
+    every = np.concatenate([x, c * x[:m] + np.sqrt(1 - c * c) * side])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id long, embedding array<double>")
+    assert len(embeddings.fit_cells(frame)[64].first) * (len(embeddings.fit_cells(frame)[64].second) if most_cells == 16 else 1) >= 200
+    rows = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    found = sum(rows[n + i].n_links == 1 and rows[n + i].component_id == i for i in range(m))
+    assert found >= 0.95 * m and sum(r.n_links for r in rows.values()) == 2 * found
+
+
+def test_vectors_of_repeated_ids_and_other_columns(spark):
+    one, near, far = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, one, 3, 1), (1, far, 3, 2), (2, near, 4, 3), (3, far, 5, 4), (None, one, 6, 5)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep long, cell int")).collect()
+    want = [(1, 2), (1, 1), (2, 2), (3, 1), (None, None)]
+    assert sorted((str(r.vec_id), str(r.component_id)) for r in got) == sorted((str(i), "None" if i is None else "1") for i, _ in want)
+
+
 PAGE = '<html><body><nav><a>Menu</a></nav><header>Site</header><div class="ad">Buy {i}</div><div class="x7">Follow us</div><article><h1>Title {i}</h1><p>One&nbsp;&amp; <b>two</b> {i}<br>three<p>Four<form>sign</form><aside>side</aside></article><div id="comments"><p>me too</p></div><footer>end</footer><script>var a = "</p>";</script></body></html>'
 
 
