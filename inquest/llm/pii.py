@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction, in built-in functions only.
 
 Seeds are the e-mail addresses, IP addresses, card and phone numbers that fixed
-patterns find. The words and the sign before an identifier-like value ("phone:",
-"member id #") are its lexical patterns. Patterns and values form a graph, built
+patterns find, and values behind a sign that have the shape of a digest or key. The
+words and the sign before an identifier-like value ("phone:", "member id #",
+"token =") are its lexical patterns. Patterns and values form a graph, built
 from all documents; scores go back and forth along it: a pattern is worth the
 mean confidence of its values, a value the chance that one of its patterns is
 right. Patterns of high worth and enough support mark the values behind them
@@ -18,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inquest.llm.common import stored, text_of
+from inquest.llm.common import if_small, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of all spans: those of the base patterns, and what only stands behind learned patterns.
+NAMES = (*KINDS, "secret")
 #: Rounds of scoring; the worth and the number of trusted values from which a pattern is used; the shortest unseen value.
 ROUNDS, WORTH, SUPPORT, SHORTEST = 3, 0.6, 3.0, 5
 
@@ -29,7 +32,9 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-CUE = r"""[:=#][ \t]{0,4}+["'(<]?+(?=[^\s]{0,63}[0-9@])[+A-Za-z0-9][A-Za-z0-9._%+@/-]{0,63}+"""
+# Behind a sign: groups of digits with single spaces between them, or a run of the characters of names and keys. What is looked for ahead ends at the next sign.
+CUE = r"""[:=#][ \t]{0,4}+["'<]?+(?=[^\s:=#]*[0-9@])(?:[+(]{0,2}+[0-9][0-9()./+-]*+(?: [0-9(][0-9()./+-]*+)*+(?![A-Za-z0-9@_%])|[+A-Za-z0-9][A-Za-z0-9._%+@/-]*+)"""
+SECRET = "^(?=.*[0-9].*[0-9].*[0-9])(?=.*[a-f].*[a-f].*[a-f])[0-9a-f]{32,128}$"
 
 OPEN, SHUT, OTHER = "\x01", "\x02", "\x03"
 SPAN = "array<struct<start:int,stop:int,value:string>>"
@@ -87,12 +92,13 @@ def cues(text: Column) -> Column:
     parts = F.filter(_spans(text, CUE), lambda s: s["stop"] > 0)
 
     def one(s: Column) -> Column:
-        value = F.regexp_extract(s["value"], r"""^[:=#][ \t]*["'(<]?(.*)$""", 1)
+        value = F.regexp_extract(s["value"], r"""^[:=#][ \t]*["'<]?(.*?)[().\-]*$""", 1)
+        begin = s["start"] + F.length(F.regexp_extract(s["value"], r"""^[:=#][ \t]*["'<]?""", 0))
         sign = F.substring(s["value"], 1, 1)
         before = F.lower(F.substring(text, F.greatest(s["start"] - 63, F.lit(1)), F.least(s["start"], F.lit(64))))
         word, two = F.regexp_extract(before, r"(\p{L}+)[ \t]*$", 1), F.regexp_extract(before, r"(\p{L}+[ \t]+\p{L}+)[ \t]*$", 1)
         return F.struct(
-            (s["stop"] - F.length(value)).alias("start"), s["stop"].alias("stop"), value.alias("value"),
+            begin.alias("start"), (begin + F.length(value)).alias("stop"), value.alias("value"),
             F.when(word != "", F.concat(word, sign)).alias("word"), F.when(two != "", F.concat(F.regexp_replace(two, r"[ \t]+", " "), sign)).alias("two"),
         )
 
@@ -102,13 +108,17 @@ def cues(text: Column) -> Column:
 
 
 def _edges(found: DataFrame) -> DataFrame:
-    """A row for each cue and pattern: key, start, stop, value, pattern, and the kind of the seed that it meets (null: none)."""
-    one = found.select("key", "base", F.explode("cues").alias("c"))
+    """A row for each cue and pattern: row, start, stop, value, pattern, and the kind of the seed that it is or meets (null: none)."""
+    one = found.select("row", "base", F.explode("cues").alias("c"))
     meets = F.filter("base", lambda b: (b["start"] < F.col("c.stop")) & (b["stop"] > F.col("c.start")))
-    rows = one.select("key", "c.start", "c.stop", "c.value", "c.word", "c.two", meets.alias("meets"))
-    known = rows.withColumn("kind", F.when(F.size("meets") > 0, F.col("meets")[0]["kind"])).withColumn("value", F.when(F.size("meets") > 0, F.col("meets")[0]["value"]).otherwise(F.col("value")))
-    usable = known.where(F.col("kind").isNotNull() | (F.length("value") >= SHORTEST))
-    return usable.select("key", "start", "stop", "value", "kind", F.explode(F.array_compact(F.array("word", "two"))).alias("pattern"))
+    rows = one.select("row", "c.start", "c.stop", "c.value", "c.word", "c.two", meets.alias("meets"))
+    met = F.size("meets") > 0
+    secret = F.when(F.col("value").rlike(SECRET), len(KINDS))
+    known = rows.select(
+        "row", "start", "stop", F.when(met, F.col("meets")[0]["value"]).otherwise(F.col("value")).alias("value"),
+        F.when(met, F.col("meets")[0]["kind"]).otherwise(secret).alias("kind"), F.explode(F.array_compact(F.array("word", "two"))).alias("pattern"),
+    )
+    return known.where(F.col("kind").isNotNull() | (F.length("value") >= SHORTEST))
 
 
 def learn(edges: DataFrame) -> DataFrame:
@@ -121,7 +131,7 @@ def learn(edges: DataFrame) -> DataFrame:
     graph = stored(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pattern-graph")
     scored = graph.withColumn("trust", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
     for turn in range(ROUNDS):
-        of_kind = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)) for k in range(len(KINDS))]
+        of_kind = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)) for k in range(len(NAMES))]
         most = F.greatest(*of_kind)
         kind = F.coalesce(*(F.when(n == most, k) for k, n in enumerate(of_kind)))
         judged = scored.groupBy("pattern").agg(F.avg("trust").alias("worth"), F.sum("trust").alias("support"), kind.alias("as_kind"))
@@ -137,74 +147,70 @@ def learn(edges: DataFrame) -> DataFrame:
     return good.select("pattern", F.col("as_kind").alias("kind"))
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> Column:
-    """What equal rows share: spans depend on the text alone."""
-    return F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), text_of(text)))
+def _found(docs: DataFrame, text: str, *kept: Column) -> DataFrame:
+    """The columns `kept`, row (a number), base (seed spans) and cues of each row: each text is matched once."""
+    whole = text_of(text)
+    return stored(docs.select(*kept, F.monotonically_increasing_id().alias("row"), base_spans(whole).alias("base"), cues(whole).alias("cues")), "spans")
 
 
-def _added(found: DataFrame) -> DataFrame | None:
-    """Spans that learned patterns add: key, added (kind, start, stop, value); None where no pattern is good enough."""
+def _with_added(found: DataFrame) -> DataFrame:
+    """`found` with added: the spans that learned patterns find and no seed pattern."""
+    none = F.array().cast("array<struct<kind:int,start:int,stop:int,value:string>>")
     edges = stored(_edges(found), "cues")
     good = learn(edges)
     if good.isEmpty():
-        return None
-    unseen = edges.where("kind IS NULL").drop("kind")
+        return found.withColumn("added", none)
+    unseen = edges.where(F.col("kind").isNull() | (F.col("kind") == len(KINDS))).drop("kind")
     hits = unseen.join(good.withColumnRenamed("pattern", "by"), F.col("pattern") == F.col("by"))
-    once = hits.groupBy("key", "start", "stop", "value").agg(F.min("kind").alias("kind"))
-    return stored(once.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("added")), "added")
+    once = hits.groupBy("row", "start", "stop", "value").agg(F.min("kind").alias("kind"))
+    added = stored(once.groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop", "value"))).alias("added")), "added")
+    joined = found.join(if_small(added), F.col("row") == F.col("of"), "left").drop("of")
+    return joined.withColumn("added", F.coalesce("added", none))
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, base (seed spans), added (spans that learned patterns found). Spans: structs of kind, start, stop, value.
+    """Per row: doc_id, base (seed spans), added (spans that learned patterns found). Spans: structs of kind (a number, as in NAMES), start, stop, value.
 
-    Null and empty texts have no spans. Rows with equal doc_id and text get equal spans, each row its own. The text is
-    read once and does not cross the network.
+    Null and empty texts have no spans, an empty table no rows. Rows with equal doc_id and text get equal spans, each row
+    its own. Texts of any length are read whole, once, and do not cross the network. Other columns take no part.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), _keyed(docs, doc_id, text).alias("key"), text_of(text).alias("text"))
-    found = stored(named.select("doc_id", "key", base_spans(F.col("text")).alias("base"), cues(F.col("text")).alias("cues")), "spans")
-    added = _added(found)
-    none = F.array().cast("array<struct<kind:int,start:int,stop:int,value:string>>")
-    if added is None:
-        return found.select("doc_id", "base", none.alias("added"))
-    joined = found.join(added.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
-    return joined.select("doc_id", "base", F.coalesce("added", none).alias("added"))
+    return _with_added(_found(docs, text, F.col(doc_id).alias("doc_id"))).select("doc_id", "base", "added")
 
 
 def _told(spans: Column) -> Column:
     """Spans as kind:start:end, joined with commas."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(names, s["kind"] + 1), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string"))), ",")
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of its seeds, and spans, all of them as text."""
+    """Per document: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of its seeds, spans (all of them as text) and their number n_spans."""
     found = detect(docs)
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [number(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     everything = F.array_sort(F.concat("base", "added"))
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"), _told(everything).alias("spans"))
+    return found.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *counts, F.sha2(_told(F.col("base")), 256).alias("base_sha256"),
+        _told(everything).alias("spans"), F.size(everything).cast("long").alias("n_spans"),
+    )
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with every span in `text` replaced by its kind in brackets, overlapping spans by the first one's.
 
-    Rows without spans stay as they are (null texts too). Texts are joined by shuffle only if many documents have added spans.
+    Rows without spans stay as they are (null and empty texts too), repeated rows each for itself, and other columns
+    whatever their names. An empty table gives an empty one. Each text is matched once, and stored with its spans.
     """
-    named = docs.select(F.col(doc_id).alias("doc_id"), _keyed(docs, doc_id, text).alias("key"), text_of(text).alias("text"))
-    found = stored(named.select("key", base_spans(F.col("text")).alias("base"), cues(F.col("text")).alias("cues")).where("size(base) > 0 OR size(cues) > 0"), "spans")
-    added = _added(found)
-    rows = docs.withColumn("_base", base_spans(text_of(text)))
-    if added is not None:
-        rows = rows.withColumn("_key", _keyed(docs, doc_id, text)).join(added.withColumnRenamed("key", "_of"), F.col("_key") == F.col("_of"), "left")
-        rows = rows.withColumn("_base", F.concat("_base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,stop:int,value:string>>"))))
-    order = F.array_sort(F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    whole = F.col(text)
+    found = _with_added(_found(docs, text, F.struct("*").alias("doc")))
+    spans = F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in NAMES))
+    whole = F.col("doc")[text]
 
     def cut(made: Column, s: Column) -> Column:
         gap = F.concat(made["out"], F.substring(whole, made["at"] + 1, s["start"] - made["at"]), F.element_at(names, s["kind"] + 1))
         return F.struct(F.greatest(made["at"], s["stop"]).alias("at"), F.when(s["start"] >= made["at"], gap).otherwise(made["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(order, start, cut, lambda made: F.concat(made["out"], F.substring(whole, made["at"] + 1, F.length(whole))))
-    return rows.withColumn(text, F.when(F.size("_base") > 0, done).otherwise(whole)).select(*docs.columns)
+    done = F.aggregate(F.array_sort(spans), start, cut, lambda made: F.concat(made["out"], F.substring(whole, made["at"] + 1, F.length(whole))))
+    new = F.when(F.size("base") + F.size("added") > 0, done).otherwise(whole)
+    return found.select(*((new if name == text else F.col("doc")[name]).alias(name) for name in docs.columns))
