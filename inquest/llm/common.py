@@ -42,14 +42,14 @@ def if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 
 
 def in_arrow(df: DataFrame, run: Callable, schema: StructType | str, rows: int = 1000) -> DataFrame:
-    """`df.mapInArrow(run, schema)` over batches of at most `rows` rows, so that long texts do not pile up in a worker.
+    """`df.mapInArrow(run, schema)` over batches of at most `rows` rows, so that work arrays stay small; Spark bounds the bytes of a batch."""
 
-    The session's batch size is lowered where it is above that: it is read when the query runs, not when it is planned.
-    """
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(size)) <= rows:
-        df.sparkSession.conf.set(size, str(rows))
-    return df.mapInArrow(run, schema)
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+
+    return df.mapInArrow(lambda batches: run(small(batches)), schema)
 
 
 def slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
