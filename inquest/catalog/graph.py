@@ -14,16 +14,37 @@ from inquest.plans import workflow
 from inquest.storage import stored, table
 
 MET = "m AS (SELECT DISTINCT l_orderkey AS event_id, o_orderstatus AS status, 'C' || o_custkey AS src, 'S' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-#: The 300 strongest pairs, their two directions and their nodes.
-STRONG = f"""{MET}, g AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM m GROUP BY ALL ORDER BY weight DESC, src, dst LIMIT 300),
-e AS (SELECT src AS a, dst AS b, weight FROM g UNION ALL SELECT dst, src, weight FROM g), v AS (SELECT DISTINCT a FROM e)"""
-#: Shortest distances between all nodes, with the number of shortest paths: walks of each length are counted, the first length is the distance.
-DISTANCES = f"""{STRONG}, w(s, t, d, n) AS (SELECT a, a, 0, CAST(1 AS DOUBLE) FROM v UNION ALL SELECT w.s, e.b, w.d + 1, sum(w.n) FROM w JOIN e ON w.t = e.a WHERE w.d < 40 GROUP BY w.s, e.b, w.d + 1),
-k AS (SELECT s, t, min(d) AS d, arg_min(n, d) AS n FROM w GROUP BY s, t)"""
+WAYS = "e AS (SELECT src AS a, dst AS b, weight FROM g UNION ALL SELECT dst, src, weight FROM g), v AS (SELECT DISTINCT a FROM e)"
+#: All pairs, their two directions and their nodes.
+NETWORK = f"{MET}, g AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM m GROUP BY ALL), {WAYS}"
+#: The same of the pairs with two orders or more.
+REPEATED = f"{MET}, g AS (SELECT src, dst, CAST(count(*) AS DOUBLE) AS weight FROM m GROUP BY ALL HAVING count(*) >= 2), {WAYS}"
+#: Rounds of the SQL that walks step by step; no two nodes of the shared tables are further apart.
+STEPS = 12
 
 
-def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(views.strong_pairs(spark, sf_dir), "strong-pairs")
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(views.order_pairs(spark, sf_dir), "order-pairs")
+
+
+def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(views.repeat_pairs(spark, sf_dir), "repeat-pairs")
+
+
+def _walk_sql(graph: str, start: str, steps: int) -> str:
+    """k(s, t, d): the distances from the start nodes, a step at a time."""
+    parts = [f"{graph}, k0 AS MATERIALIZED (SELECT a AS s, a AS t, 0 AS d FROM v WHERE {start})"]
+    for i in range(steps):
+        near = f"SELECT DISTINCT k{i}.s, e.b AS t, {i + 1} AS d FROM k{i} JOIN e ON k{i}.t = e.a WHERE k{i}.d = {i}"
+        parts.append(f"k{i + 1} AS MATERIALIZED (SELECT * FROM k{i} UNION ALL SELECT x.* FROM ({near}) x ANTI JOIN k{i} ON x.s = k{i}.s AND x.t = k{i}.t)")
+    return f"WITH {', '.join(parts)}, k AS (SELECT * FROM k{steps})"
+
+
+def _parts_sql(graph: str) -> str:
+    parts = [f"{graph}, l0 AS MATERIALIZED (SELECT a, a AS label FROM v)"]
+    for i in range(STEPS):
+        parts.append(f"l{i + 1} AS MATERIALIZED (SELECT e.a, least(min(x.label), any_value(y.label)) AS label FROM e JOIN l{i} x ON e.b = x.a JOIN l{i} y ON e.a = y.a GROUP BY e.a)")
+    return f"WITH {', '.join(parts)}"
 
 
 @query(f"""WITH {MET} SELECT src, dst, round(CAST(count(*) AS DOUBLE) + CAST(0.05 AS DOUBLE) * count(*) FILTER (WHERE status = 'F'), 6) AS weight,
@@ -41,18 +62,18 @@ def pair_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("src", "dst", F.round("weight", 6).alias("weight"), joined("relationship_ids"), joined("event_ids"))
 
 
-@query(f"""WITH {STRONG} SELECT a AS node_id, count(*) AS degree, sum(weight) AS weighted_degree, round(count(*) / (SELECT greatest(1, count(*) - 1) FROM v), 6) AS degree_centrality FROM e GROUP BY a""")
+@query(f"""WITH {NETWORK} SELECT a AS node_id, count(*) AS degree, sum(weight) AS weighted_degree, round(count(*) / (SELECT greatest(1, count(*) - 1) FROM v), 6) AS degree_centrality FROM e GROUP BY a""")
 def degree_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees in the strong graph."""
-    g = strong(spark, sf_dir)
+    """Degrees in the network."""
+    g = network(spark, sf_dir)
     return projection.degrees(g, views.pair_nodes(g)).withColumn("degree_centrality", F.round("degree_centrality", 6))
 
 
-@query(f"WITH {STRONG} SELECT 'C' || c_custkey AS node_id FROM customer EXCEPT SELECT src FROM g")
+@query(f"WITH {NETWORK} SELECT 'C' || c_custkey AS node_id FROM customer EXCEPT SELECT src FROM g")
 def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without a strong pair."""
+    """Customers without an order."""
     ids = table(spark, sf_dir, "customer").select(views.person("c_custkey").alias("node_id")).distinct()
-    return projection.isolates(strong(spark, sf_dir), ids)
+    return projection.isolates(network(spark, sf_dir), ids)
 
 
 SEED = "(SELECT min(dst) FROM g)"
@@ -62,64 +83,64 @@ def seed(g: DataFrame) -> str:
     return g.agg(F.min("dst")).first()[0]
 
 
-@query(f"WITH {STRONG} SELECT DISTINCT b AS node_id FROM e WHERE a = {SEED}")
+@query(f"WITH {NETWORK} SELECT DISTINCT b AS node_id FROM e WHERE a = {SEED}")
 def neighbors_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours of one supplier."""
-    g = strong(spark, sf_dir)
+    g = network(spark, sf_dir)
     return projection.both_ways(g).where(F.col("node_id") == seed(g)).select(F.col("neighbor_id").alias("node_id")).distinct()
 
 
-@query(f"WITH {STRONG} SELECT src, dst, weight FROM g WHERE src = {SEED} OR dst = {SEED}")
+@query(f"WITH {NETWORK} SELECT src, dst, weight FROM g WHERE src = {SEED} OR dst = {SEED}")
 def incident_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of one supplier."""
-    g = strong(spark, sf_dir)
+    g = network(spark, sf_dir)
     return g.where((F.col("src") == seed(g)) | (F.col("dst") == seed(g)))
 
 
-@query(f"WITH {STRONG} SELECT m.event_id, m.src, m.dst FROM m JOIN (SELECT src, dst FROM g ORDER BY weight DESC, src, dst LIMIT 1) USING (src, dst)")
+@query(f"WITH {NETWORK} SELECT m.event_id, m.src, m.dst FROM m JOIN (SELECT src, dst FROM g ORDER BY weight DESC, src, dst LIMIT 1) USING (src, dst)")
 def edges_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders between the two nodes of the strongest pair."""
-    one = projection.strongest(strong(spark, sf_dir), 1).first()
+    one = projection.strongest(network(spark, sf_dir), 1).first()
     found = views.interactions(spark, sf_dir).where((F.col("source_entity_id") == one.src) & (F.col("target_entity_id") == one.dst))
     return found.select("event_id", F.col("source_entity_id").alias("src"), F.col("target_entity_id").alias("dst"))
 
 
-@query(f"""WITH {STRONG} SELECT g.* FROM g JOIN customer ON src = 'C' || c_custkey JOIN supplier ON dst = 'S' || s_suppkey WHERE c_nationkey < 12 AND s_nationkey < 12""")
+@query(f"""WITH {NETWORK} SELECT g.* FROM g JOIN customer ON src = 'C' || c_custkey JOIN supplier ON dst = 'S' || s_suppkey WHERE c_nationkey < 12 AND s_nationkey < 12""")
 def scoped_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strong pairs inside some nations."""
+    """Pairs inside some nations."""
     people = table(spark, sf_dir, "customer").where("c_nationkey < 12").select(views.person("c_custkey").alias("node_id"))
     firms = table(spark, sf_dir, "supplier").where("s_nationkey < 12").select(views.organization("s_suppkey").alias("node_id"))
-    return projection.scoped(strong(spark, sf_dir), people.unionByName(firms))
+    return projection.scoped(network(spark, sf_dir), people.unionByName(firms))
 
 
-@query(f"WITH {STRONG} SELECT a AS node_id, array_to_string(list_sort(list(DISTINCT b)), ',') AS neighbors FROM e GROUP BY a")
+@query(f"WITH {NETWORK} SELECT a AS node_id, array_to_string(list_sort(list(DISTINCT b)), ',') AS neighbors FROM e GROUP BY a")
 def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted neighbours of every node."""
-    return projection.adjacency(strong(spark, sf_dir)).withColumn("neighbors", F.array_join("neighbors", ","))
+    return projection.adjacency(network(spark, sf_dir)).withColumn("neighbors", F.array_join("neighbors", ","))
 
 
-@query(f"WITH RECURSIVE {STRONG}, r(a, b) AS (SELECT a, a FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node_id, min(b) AS component FROM r GROUP BY a")
+@query(f"{_parts_sql(NETWORK)} SELECT a AS node_id, label AS component FROM l{STEPS}")
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the strong graph by least member."""
-    return components(strong(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "node_id")
+    """Components of the network by least member."""
+    return components(network(spark, sf_dir).select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("node", "node_id")
 
 
-@query(f"WITH RECURSIVE {DISTANCES} SELECT t AS node_id, d AS hop FROM k WHERE s = {SEED} AND d <= 3")
+@query(f"{_walk_sql(NETWORK, f'a = {SEED}', 3)} SELECT t AS node_id, d AS hop FROM k")
 def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes within three steps of one supplier."""
-    g = strong(spark, sf_dir)
+    g = network(spark, sf_dir)
     return paths.hops(g, spark.createDataFrame([(seed(g),)], "node_id string"), 3)
 
 
-@query(f"WITH RECURSIVE {DISTANCES} SELECT t AS node_id, d AS distance FROM k WHERE s = {SEED}")
+@query(f"{_walk_sql(NETWORK, f'a = {SEED}', STEPS)} SELECT t AS node_id, d AS distance FROM k")
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances from one supplier to all nodes in reach."""
-    g = strong(spark, sf_dir)
+    g = network(spark, sf_dir)
     return paths.search(g, seed(g)).select("node_id", "distance")
 
 
 def _rank_sql(rounds: int) -> str:
-    parts = [f"{STRONG}, q AS (SELECT a, count(*) AS deg FROM e GROUP BY a), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), r0 AS (SELECT a, 1 / c.n AS r FROM v, c)"]
+    parts = [f"{NETWORK}, q AS (SELECT a, count(*) AS deg FROM e GROUP BY a), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), r0 AS (SELECT a, 1 / c.n AS r FROM v, c)"]
     for i in range(rounds):
         got = f"(SELECT e.b AS a, sum(r{i}.r / q.deg) AS s FROM r{i} JOIN q USING (a) JOIN e USING (a) GROUP BY e.b)"
         parts.append(f"r{i + 1} AS (SELECT v.a, 0.15 / c.n + 0.85 * coalesce(x.s, 0) AS r FROM v LEFT JOIN {got} x USING (a), c)")
@@ -128,39 +149,37 @@ def _rank_sql(rounds: int) -> str:
 
 @query(_rank_sql(20))
 def pagerank_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty rounds of PageRank on the strong graph."""
-    g = strong(spark, sf_dir)
+    """Twenty rounds of PageRank on the network."""
+    g = network(spark, sf_dir)
     return centrality.pagerank(g, views.pair_nodes(g), rounds=20, tolerance=0).withColumn("pagerank", F.round("pagerank", 6))
 
 
-@query(f"""WITH RECURSIVE {DISTANCES}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v)
+@query(f"""{_walk_sql(REPEATED, 'true', STEPS)}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v)
 SELECT s AS node_id, round(power(count(*) - 1, 2) / sum(d) / any_value(n.n - 1), 6) AS closeness_centrality FROM k, n GROUP BY s""")
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closeness on the strong graph."""
-    g = strong(spark, sf_dir)
+    """Closeness on the repeat pairs."""
+    g = repeated(spark, sf_dir)
     return centrality.path_centralities(g, views.pair_nodes(g)).select("node_id", F.round("closeness_centrality", 6).alias("closeness_centrality"))
 
 
-@query(f"""WITH RECURSIVE {DISTANCES}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v),
-b AS (SELECT x.t AS a, sum(x.n * y.n / z.n) AS b FROM k x JOIN k y ON x.t = y.s JOIN k z ON z.s = x.s AND z.t = y.t WHERE x.d + y.d = z.d AND x.s <> x.t AND y.s <> y.t GROUP BY x.t)
-SELECT v.a AS node_id, round(coalesce(b, 0) / ((n.n - 1) * (n.n - 2)), 6) AS betweenness_centrality FROM v LEFT JOIN b USING (a), n""")
+@query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Betweenness on the strong graph."""
-    g = strong(spark, sf_dir)
+    """Betweenness on the repeat pairs (counts of paths between all nodes: no SQL)."""
+    g = repeated(spark, sf_dir)
     return centrality.path_centralities(g, views.pair_nodes(g)).select("node_id", F.round("betweenness_centrality", 6).alias("betweenness_centrality"))
 
 
 @query()
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the strong graph (sequential by definition: no SQL)."""
-    g = strong(spark, sf_dir)
+    """Communities of the repeat pairs (sequential by definition: no SQL)."""
+    g = repeated(spark, sf_dir)
     return roles.communities(g, views.pair_nodes(g))
 
 
 @query()
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that hold the strong graph together."""
-    g = strong(spark, sf_dir)
+    """Nodes that hold the repeat pairs together."""
+    g = repeated(spark, sf_dir)
     found = roles.bridges(g, centrality.path_centralities(g, views.pair_nodes(g)))
     return found.select("node_id", "n_parts", F.round("bridge_score", 6).alias("bridge_score"))
 
@@ -172,16 +191,16 @@ def metrics(g: DataFrame, ids: DataFrame) -> DataFrame:
 
 @query()
 def key_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of the strong graph ranked by influence."""
-    g = strong(spark, sf_dir)
+    """Nodes of the repeat pairs ranked by influence."""
+    g = repeated(spark, sf_dir)
     found = roles.key_individuals(metrics(g, views.pair_nodes(g)))
     return found.select("rank", "node_id", F.round("influence_score", 6).alias("influence_score"), F.array_join("reasons", ",").alias("reasons"))
 
 
 @query()
 def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strong graph's bridges with unusual activity; betweenness is taken over its largest value, as none reaches one half here."""
-    g = strong(spark, sf_dir)
+    """The repeat pairs' bridges with unusual activity; betweenness is taken over its largest value, as none reaches one half here."""
+    g = repeated(spark, sf_dir)
     scaled = projection.normalized(stored(centrality.path_centralities(g, views.pair_nodes(g)), "path-metrics"), "betweenness_centrality")
     found = anomaly.convergence(views.interactions(spark, sf_dir), scaled, YEAR, YEAR_BEFORE, WIDE_MINUTES)
     return found.select("entity_id", "target_event_count", F.round("score", 6).alias("score"), "severity")
@@ -189,8 +208,8 @@ def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def workflow_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small investigation of the strong graph: the status and the size of what each step found."""
-    g = strong(spark, sf_dir)
+    """A small investigation of the repeat pairs: the status and the size of what each step found."""
+    g = repeated(spark, sf_dir)
     nodes = views.pair_nodes(g).select("node_id", F.lit("ENTITY").alias("kind"), F.when(F.col("node_id").startswith("C"), "PERSON").otherwise("ORGANIZATION").alias("type"), F.col("node_id").alias("label"))
     edges = g.select(F.concat_ws("-", "src", "dst").alias("edge_id"), F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit(None).cast("timestamp").alias("start_at"), F.lit(None).cast("timestamp").alias("end_at"), F.lit(1.0).alias("confidence"))
     events = views.interactions(spark, sf_dir).withColumn("event_id", F.col("event_id").cast("string")).withColumn("confidence", F.lit(1.0))

@@ -31,12 +31,14 @@ def induced(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs
 
 
-def search(pairs: DataFrame, source: str, target: str | None = None, most: int = 64) -> DataFrame:
+def search(pairs: DataFrame, source: str, target: str | None = None) -> DataFrame:
     """Breadth-first search from a node: node_id, distance, parent (of the earliest visited neighbour, as a queue over sorted neighbours visits them)."""
     spark, ways = pairs.sparkSession, both_ways(pairs)
     first = spark.createDataFrame([(source, 0, None, 1)], "node_id string, distance int, parent string, visit long")
     reached = frontier = stored(first, "search")
-    for step in range(1, most + 1):
+    step = 0
+    while True:
+        step += 1
         met = frontier.select(F.col("node_id").alias("parent"), "visit").join(ways, F.col("parent") == F.col("node_id")).select(F.col("neighbor_id").alias("node_id"), "parent", "visit")
         new = met.join(reached.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min(F.struct("visit", "parent")).alias("by"))
         order = F.row_number().over(Window.partitionBy("visit_of").orderBy("node_id"))

@@ -38,10 +38,10 @@ def rules() -> list[tuple[str, str, str, Column]]:
     """Document type, flag, severity, and the condition under which the document is in order."""
     sections = _has("identifiers", "type", "act", "sec", "ipc", "bns")
     return [
-        ("fir", "missing_fir_number", "critical", _has("identifiers", "type", "fir") | _has("identifiers", "value", "fir")),
-        ("fir", "missing_police_station", "high", _has("identifiers", "type", "police station", "ps", "thana")),
-        ("fir", "missing_acts_and_sections", "high", sections),
-        ("fir", "chronology_violation", "critical", ~F.coalesce(_date("occurrence") > _date("registration", "reporting", "dispatch"), F.lit(False))),
+        ("fir_report", "missing_fir_number", "critical", _has("identifiers", "type", "fir") | _has("identifiers", "value", "fir")),
+        ("fir_report", "missing_police_station", "high", _has("identifiers", "type", "police station", "ps", "thana")),
+        ("fir_report", "missing_acts_and_sections", "high", sections),
+        ("fir_report", "chronology_violation", "critical", ~F.coalesce(_date("occurrence") > _date("registration", "reporting", "dispatch"), F.lit(False))),
         ("seizure_memo", "insufficient_panch_witnesses", "critical", _witnesses() >= 2),
         ("seizure_memo", "missing_seal_impression", "medium", _has("identifiers", "type", "seal") | _text("seal")),
         ("arrest_memo", "missing_arrestee_identity", "critical", _has("parties", "role", "arrest", "accused")),

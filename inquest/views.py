@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inquest.operators.projection import strongest
 from inquest.storage import table
 
 
@@ -50,9 +49,9 @@ def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.agg(F.count_distinct("event_id").cast("double").alias("weight"))
 
 
-def strong_pairs(spark: SparkSession, sf_dir: str, top: int = 300) -> DataFrame:
-    """The pairs with the most shared orders: a graph of bounded size for the network metrics."""
-    return strongest(order_pairs(spark, sf_dir), top)
+def repeat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that share at least two orders: the graph of the metrics over all paths, whose cost is nodes times pairs."""
+    return order_pairs(spark, sf_dir).where("weight >= 2")
 
 
 def pair_nodes(pairs: DataFrame) -> DataFrame:
