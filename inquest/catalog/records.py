@@ -56,12 +56,16 @@ def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.low_confidence(lines, "confidence", 0.95)
 
 
-@query("""SELECT 'case:' || sha256(text) AS key, count(DISTINCT source) AS n_values, count(*) AS n_observations, 'high' AS severity FROM documents
-WHERE source IS NOT NULL AND trim(source) <> '' GROUP BY sha256(text) HAVING count(DISTINCT source) > 1""")
+@query("""WITH o AS (SELECT 'identifier:' || sha256(text) AS key, regexp_replace(lower(source), '[^a-z0-9]+', '', 'g') AS norm FROM documents WHERE trim(source) <> ''
+UNION ALL SELECT 'case_reference', regexp_replace(lower(source), '[^a-z0-9]+', '', 'g') FROM documents WHERE trim(source) <> '' UNION ALL SELECT 'district', trim(lower(lang)) FROM documents WHERE trim(lang) <> '')
+SELECT key, count(DISTINCT norm) AS n_values, count(*) AS n_observations, CASE WHEN key = 'case_reference' THEN 'high' ELSE 'medium' END AS severity FROM o GROUP BY key HAVING count(DISTINCT norm) > 1""")
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that are filed under several sources."""
-    seen = table(spark, sf_dir, "documents").select(F.concat(F.lit("case:"), F.sha2("text", 256)).alias("key"), F.col("source").alias("value"))
-    return review.contradictions(seen)
+    """Texts that are filed under several sources, and the sources and languages as one case's reference and district."""
+    docs = table(spark, sf_dir, "documents")
+    filed = F.struct(F.concat(F.lit("identifier:"), F.sha2("text", 256)).alias("key"), F.col("source").alias("value"))
+    case = F.struct(F.lit("case_reference").alias("key"), F.col("source").alias("value"))
+    place = F.struct(F.lit("district").alias("key"), F.col("lang").alias("value"))
+    return review.contradictions(docs.select(F.inline(F.array(filed, case, place))))
 
 
 @query("SELECT p_name AS identifier, count(DISTINCT l_orderkey) AS n_documents FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name HAVING count(DISTINCT l_orderkey) > 1")

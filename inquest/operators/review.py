@@ -17,12 +17,14 @@ def compact(text: Column) -> Column:
 def contradictions(observations: DataFrame) -> DataFrame:
     """Keys observed with more than one normalised value: key, n_values, n_observations, severity.
 
-    observations: key, value. Empty and null values are ignored. Identifier keys (case, FIR or account numbers) weigh high.
+    observations: key, value. Empty and null values are ignored. Values of case and identifier keys are compared by their
+    letters and digits alone, others by their words. Only a conflict of case references weighs high.
     """
-    seen = observations.withColumn("norm", compact(F.col("value"))).where("norm <> ''")
+    words = compact(F.col("value"))
+    by_signs = F.col("key").startswith("case_") | F.col("key").startswith("identifier:")
+    seen = observations.where(words != "").withColumn("norm", F.when(by_signs, F.regexp_replace(words, "[^a-z0-9]+", "")).otherwise(words))
     found = seen.groupBy("key").agg(F.count_distinct("norm").alias("n_values"), F.count(F.lit(1)).alias("n_observations"))
-    high = F.lower("key").rlike("case|fir|account|identifier")
-    return found.where("n_values > 1").withColumn("severity", F.when(high, "high").otherwise("medium"))
+    return found.where("n_values > 1").withColumn("severity", F.when(F.col("key") == "case_reference", "high").otherwise("medium"))
 
 
 def provenance_counts(parts: dict[str, DataFrame]) -> DataFrame:
