@@ -75,3 +75,10 @@ def path_support(pairs: DataFrame, path: list[str]) -> DataFrame:
     rows = [(i, *sorted(p)) for i, p in enumerate(zip(path, path[1:]), 1)]
     steps = pairs.sparkSession.createDataFrame(rows, "step int, src string, dst string")
     return F.broadcast(steps).join(pairs, ["src", "dst"]).orderBy("step")  # as many rows as the path has steps
+
+
+def evidence_links(edges: DataFrame, events: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of the whole evidence graph: edges, and events joined to the entities at their ends."""
+    ends = F.explode(F.array_compact(F.array("source_entity_id", "target_entity_id")))
+    of_events = events.select(F.col("event_id").cast("string").alias("src"), ends.alias("dst"))
+    return edges.select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).unionByName(of_events).where("src <> dst").distinct()

@@ -64,6 +64,46 @@ def scoped(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     return pairs
 
 
+def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: n_nodes, n_entities, n_events, n_edges. nodes: node_id, kind."""
+    of_nodes = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("kind") == "ENTITY").alias("n_entities"), F.count_if(F.col("kind") == "EVENT").alias("n_events"))
+    return of_nodes.crossJoin(edges.agg(F.count(F.lit(1)).alias("n_edges")))  # one row with one row
+
+
+def neighbors(edges: DataFrame, node: str, direction: str = "both") -> DataFrame:
+    """Distinct neighbours (node_id) of a node along edges (source_id, target_id): "out", "in" or "both"."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError("direction must be out, in or both")
+    ways = {"out": [("source_id", "target_id")], "in": [("target_id", "source_id")]}
+    ends = ways.get(direction, ways["out"] + ways["in"])
+    met = F.array_compact(F.array(*(F.when(F.col(near) == node, F.col(far)) for near, far in ends)))
+    touching = F.greatest(*(F.col(near) == node for near, _ in ends)) if len(ends) > 1 else F.col(ends[0][0]) == node
+    return edges.where(touching).select(F.explode(met).alias("node_id")).distinct()
+
+
+def touching(rows: DataFrame, ids: DataFrame, ends: tuple[str, str]) -> DataFrame:
+    """Rows with at least one of two ends among `ids` (node_id)."""
+    marked = rows
+    for i, end in enumerate(ends):
+        marked = marked.join(ids.select(F.col("node_id").alias(end)).distinct().withColumn(f"_in{i}", F.lit(True)), end, "left")
+    return marked.where("_in0 OR _in1").select(*rows.columns)
+
+
+def without_isolates(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id) with an edge between shown nodes, and those edges (source_id, target_id)."""
+    shown = edges
+    for end in ("source_id", "target_id"):
+        shown = shown.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+    return nodes.join(shown.select(F.explode(F.array("source_id", "target_id")).alias("node_id")), "node_id", "left_semi"), shown.select(*edges.columns)
+
+
+def supported(found: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
+    """Findings about pairs (src, dst) with an id for each edge and event between the two: finding columns, support, object_id. A row per id: a hot pair is no list."""
+    of_edges = edges.select(*ordered_pair("source_id", "target_id"), F.lit("RELATIONSHIP").alias("support"), F.col("edge_id").cast("string").alias("object_id"))
+    of_events = events.select(*ordered_pair("source_entity_id", "target_entity_id"), F.lit("EVENT").alias("support"), F.col("event_id").cast("string").alias("object_id"))
+    return found.join(of_edges.unionByName(of_events), ["src", "dst"])
+
+
 def adjacency(pairs: DataFrame) -> DataFrame:
     """Per node the sorted array of its neighbours."""
     return both_ways(pairs).groupBy("node_id").agg(F.array_sort(F.collect_set("neighbor_id")).alias("neighbors"))

@@ -27,6 +27,17 @@ def contradictions(observations: DataFrame) -> DataFrame:
     return found.where("n_values > 1").withColumn("severity", F.when(F.col("key") == "case_reference", "high").otherwise("medium"))
 
 
+def severity_counts(found: DataFrame) -> DataFrame:
+    """Contradictions by severity: severity, n."""
+    return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def first_observations(observations: DataFrame, *order: str) -> DataFrame:
+    """The first observation, in this order, of each key and comparable value: key, norm, value and the columns of the order."""
+    seen = observations.withColumn("norm", compact(F.col("value"))).where("norm <> ''")
+    return seen.groupBy("key", "norm").agg(F.min(F.struct(*order, "value")).alias("_first")).select("key", "norm", "_first.*")
+
+
 def provenance_counts(parts: dict[str, DataFrame]) -> DataFrame:
     """Items of provenance by object type: one count over the union."""
     every = None

@@ -78,3 +78,13 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     both = before.distinct().withColumn("seen", F.lit(1)).unionByName(after.distinct().withColumn("seen", F.lit(2)))
     changes = both.groupBy(*before.columns).agg(F.sum("seen").alias("seen")).where("seen < 3")
     return changes.select(*before.columns, F.when(F.col("seen") == 2, "NEW").otherwise("GONE").alias("change"))
+
+
+def snapshot_counts(events: DataFrame, edges: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """One row about a snapshot: its events, entities, edges with a date and without one, and pairs."""
+    kept = edges.join(snapshot_edges(events, edges, start, stop), "edge_id", "left_semi")
+    of_edges = kept.agg(F.count("start_at").alias("n_dated_edges"), F.count_if(F.col("start_at").isNull()).alias("n_undated_edges"))
+    of_events = in_window(events, start, stop).agg(F.count(F.lit(1)).alias("n_events"))
+    of_entities = active_entities(events, start, stop).agg(F.count(F.lit(1)).alias("n_entities"))
+    of_pairs = active_pairs(edges, start, stop).agg(F.count(F.lit(1)).alias("n_pairs"))
+    return of_events.crossJoin(of_entities).crossJoin(of_edges).crossJoin(of_pairs)  # each has one row

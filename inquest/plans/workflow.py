@@ -187,7 +187,7 @@ def _scope(graph: Graph, near: list[Result]) -> Graph:
 def _network(graph: Graph, c: dict) -> tuple[DataFrame, DataFrame]:
     """Pairs and eligible ids under a step's settings."""
     ids = stored(projection.eligible(graph.nodes, list(c.get("target_entity_types", ["PERSON"]))).select("node_id"), "eligible")
-    events = graph.events if c.get("include_event_interactions", True) else graph.events.limit(0)
+    events = graph.events if c.get("include_event_interactions", True) else graph.events.where("false")
     return stored(projection.pairs(graph.edges, events, ids), "network"), ids
 
 
