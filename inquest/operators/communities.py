@@ -90,13 +90,15 @@ def _cut_nodes(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["node_id", "n_parts"])
 
 
-def bridges(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
+def bridges(pairs: DataFrame, metrics: DataFrame, minimum_ratio: float = 0.5) -> DataFrame:
     """Nodes that hold parts of the network together: node_id, n_parts, bridge_score, supporting ids.
 
     A node counts if its removal puts its neighbours into two or more parts; the share of neighbours across parts is 1 for
     all of these. metrics: node_id, betweenness_centrality. Supporting ids come from pairs that have them.
     """
     found = _in_parts(pairs).groupBy("component").applyInPandas(_cut_nodes, "node_id string, n_parts long")
+    if minimum_ratio > 1:
+        found = found.where("false")  # the share of neighbours across parts is 1 for every cut node
     score = F.least(F.lit(1.0), BRIDGE[0] * F.col("betweenness_centrality") + BRIDGE[1])
     scored = found.join(metrics.select("node_id", "betweenness_centrality"), "node_id").withColumn("bridge_score", score)
     held = [c for c in ("relationship_ids", "event_ids") if c in pairs.columns]

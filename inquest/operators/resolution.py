@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inquest.functions.text import folded, identifier, key_form, phone, ratio, token_jaccard
+from inquest.functions.text import folded, key_form, phone, ratio, token_jaccard
 from inquest.operators.components import components
 from inquest.storage import stored
 
 # Weights of the signals, thresholds of the statuses, and the gate below which a pair is no candidate.
 WEIGHTS = {"name": 0.55, "strong": 0.35, "attribute": 0.07, "role": 0.03}
 PENALTY, CONFIRMED, PROBABLE, POSSIBLE, NAME_GATE, ATTRIBUTE_GATE, MOST_CANDIDATES = 0.30, 0.90, 0.80, 0.70, 0.68, 0.60, 50
-# Attribute keys that identify an entity strongly.
-STRONG_KEYS = ("phone", "phone_number", "mobile", "email", "account_number", "vehicle_number", "passport", "pan", "aadhaar", "imei", "device_id")
+# Attribute keys that hold phone numbers, all keys that identify an entity strongly, and types whose name does so.
+PHONE_KEYS = ("phone", "phone_number", "mobile", "mobile_number", "contact", "msisdn")
+STRONG_KEYS = (
+    *PHONE_KEYS, "account", "account_number", "iban", "vehicle", "vehicle_number", "registration", "registration_number", "device", "device_id", "imei",
+    "imsi", "ip", "ip_address", "identifier", "identifier_value", "email", "email_address", "pan", "aadhaar", "passport", "id", "identifier_id",
+)
+STRONG_TYPES = ("PHONE", "ACCOUNT", "VEHICLE", "DEVICE", "IDENTIFIER", "IP", "EMAIL")
 
 
 def token_pairs(entities: DataFrame, least: float) -> DataFrame:
@@ -31,11 +36,12 @@ def token_pairs(entities: DataFrame, least: float) -> DataFrame:
 
 
 def identifiers(entities: DataFrame) -> DataFrame:
-    """Strong identifiers of entities (id, attributes): id, kind, value in comparable form."""
-    held = entities.select("id", F.explode("attributes").alias("key", "value")).where("value <> ''")
+    """Strong identifiers of entities (id, type, name, attributes): id, kind, value in comparable form. The name of an account, a vehicle and the like is one."""
     kind = F.regexp_replace(F.lower("key"), "[^a-z]+", "_")
-    is_phone = kind.isin("phone", "phone_number", "mobile")
-    return held.where(kind.isin(*STRONG_KEYS)).select("id", F.when(is_phone, "phone").otherwise(kind).alias("kind"), F.when(is_phone, phone(F.col("value"))).otherwise(identifier(F.col("value"))).alias("value")).distinct()
+    held = entities.select("id", F.explode("attributes").alias("key", "value")).where("value <> ''").select("id", kind.alias("kind"), "value").where(F.col("kind").isin(*STRONG_KEYS))
+    named = entities.where(F.upper("type").isin(*STRONG_TYPES)).select("id", F.lower("type").alias("kind"), F.col("name").alias("value"))
+    form = F.when(F.col("kind").isin(*PHONE_KEYS), phone(F.col("value"))).otherwise(F.regexp_replace(F.lower("value"), "[^a-z0-9]", ""))
+    return held.unionByName(named).select("id", "kind", form.alias("value")).where("value <> ''").distinct()
 
 
 def blocked_pairs(entities: DataFrame) -> DataFrame:
@@ -47,7 +53,7 @@ def blocked_pairs(entities: DataFrame) -> DataFrame:
     names = entities.select("id", "type", F.explode(F.split(key_form(F.col("name")), " ")).alias("word")).where("word <> ''")
     blocks = names.select("id", "type", F.substring("word", 1, 2).alias("block"))
     attributes = entities.select("id", "type", F.explode("attributes").alias("k", "v")).where("v <> ''").select("id", "type", F.concat_ws("=", F.lower("k"), key_form(F.col("v"))).alias("block"))
-    strong = identifiers(entities).join(entities.select("id", "type"), "id").select("id", "type", F.concat_ws("=", "kind", "value").alias("block"))
+    strong = identifiers(entities).join(entities.select("id", "type"), "id").select("id", "type", F.concat(F.lit("="), "value").alias("block"))
     every = blocks.unionByName(attributes).unionByName(strong).distinct()
     other = every.select(F.col("id").alias("right_id"), "type", "block")
     return every.withColumnRenamed("id", "left_id").join(other, ["type", "block"]).where("left_id < right_id").select("left_id", "right_id").distinct()
@@ -58,35 +64,44 @@ def _signals(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     named = entities.join(strong, "id", "left").select(
         "id", folded(F.coalesce("normalized_name", "name")).alias("name"), F.lower("role").alias("role"), F.transform_values("attributes", lambda k, v: key_form(v)).alias("attributes"), "strong"
     )
-    of = lambda side: named.select(*(F.col(c).alias(f"{side}_{c}") for c in named.columns))
-    return pairs.join(of("left"), "left_id").join(of("right"), "right_id")
+    of = lambda side: named.select(F.col("id").alias(f"{side}_id"), F.struct(*named.columns).alias(side))
+    both = pairs.join(of("left"), "left_id").join(of("right"), "right_id")
+    place = lambda side: F.struct(F.col(f"{side}.name"), F.col(f"{side}.id"))
+    ahead = place("left") <= place("right")
+    turned = both.select(F.when(ahead, F.col("left")).otherwise(F.col("right")).alias("l"), F.when(ahead, F.col("right")).otherwise(F.col("left")).alias("r"))
+    return turned.select(*(F.col(f"{short}.{c}").alias(f"{side}_{c}") for short, side in (("l", "left"), ("r", "right")) for c in named.columns))
 
 
 def candidates(entities: DataFrame) -> DataFrame:
-    """Compared pairs above the gate: left_id, right_id, the four signals, contradicted, score, status; at most 50 per left entity by right id.
+    """Compared pairs above the gate: left_id, right_id, the four signals, contradicted, score, status, reasons.
 
-    entities: id, type, name, normalized_name, role, attributes (map of text). Signals that are absent do not weigh. Different
-    strong identifiers of one kind, with none in common, contradict and cost PENALTY.
+    The left one of a pair comes first by normalised name, then id; at most 50 per left entity, in the same order of the right one.
+
+    entities: id, type, name, normalized_name, role, attributes (map of text). Signals that are absent do not weigh. Strong
+    identifiers match by value whatever their kind; different ones of one kind, with none in common, contradict and cost PENALTY.
     """
     both = _signals(entities, blocked_pairs(entities))
     name = F.greatest(ratio(F.col("left_name"), F.col("right_name")), token_jaccard(F.col("left_name"), F.col("right_name")))
     l, r = F.col("left_strong"), F.col("right_strong")
-    same = F.coalesce(F.arrays_overlap(l, r), F.lit(False))
+    values = lambda c: F.transform(c, lambda x: x["value"])
+    same = F.coalesce(F.arrays_overlap(values(l), values(r)), F.lit(False))
     kinds = lambda c: F.transform(c, lambda x: x["kind"])
     common_kind = F.coalesce(F.arrays_overlap(kinds(l), kinds(r)), F.lit(False))
     keys = F.array_intersect(F.map_keys("left_attributes"), F.map_keys("right_attributes"))
     agree = F.size(F.filter(keys, lambda k: F.element_at("left_attributes", k) == F.element_at("right_attributes", k)))
     attribute = F.when(F.size(keys) > 0, agree / F.size(keys))
     role = F.when(F.col("left_role").isNotNull() & F.col("right_role").isNotNull(), (F.col("left_role") == F.col("right_role")).cast("double"))
-    made = both.select("left_id", "right_id", name.alias("name"), F.when(common_kind, same.cast("double")).alias("strong"), attribute.alias("attribute"), role.alias("role"), (common_kind & ~same).alias("contradicted"))
+    made = both.select("left_id", "right_id", "right_name", name.alias("name"), F.when(l.isNotNull() & r.isNotNull(), same.cast("double")).alias("strong"), attribute.alias("attribute"), role.alias("role"), (common_kind & ~same).alias("contradicted"))
     gated = made.where((F.col("name") >= NAME_GATE) | (F.col("strong") > 0) | (F.col("attribute") >= ATTRIBUTE_GATE))
     weight: Column = sum(F.when(F.col(s).isNotNull(), F.lit(w)).otherwise(0.0) for s, w in WEIGHTS.items())
     worth: Column = sum(F.coalesce(F.col(s), F.lit(0.0)) * w for s, w in WEIGHTS.items())
     score = F.greatest(F.lit(0.0), worth / weight - F.when(F.col("contradicted"), PENALTY).otherwise(0.0))
     scored = gated.withColumn("score", F.round(score, 6))
     status = F.when(F.col("contradicted"), "CONTRADICTED").when(F.col("score") >= CONFIRMED, "CONFIRMED").when(F.col("score") >= PROBABLE, "PROBABLE").when(F.col("score") >= POSSIBLE, "POSSIBLE").otherwise("UNRESOLVED")
-    first = F.row_number().over(Window.partitionBy("left_id").orderBy("right_id"))
-    return scored.withColumn("status", status).withColumn("_n", first).where(F.col("_n") <= MOST_CANDIDATES).drop("_n")
+    first = F.row_number().over(Window.partitionBy("left_id").orderBy("right_name", "right_id"))
+    found = scored.withColumn("status", status).withColumn("_n", first).where(F.col("_n") <= MOST_CANDIDATES)
+    reasons = F.array_compact(F.array(F.when(F.col("name") >= NAME_GATE, "similar_name"), F.when(F.col("strong") > 0, "shared_identifier"), F.when(F.col("attribute") > 0, "shared_attributes"), F.when(F.col("role") > 0, "same_role"), F.when(F.col("contradicted"), "contradictory_identifier")))
+    return found.withColumn("reasons", reasons).drop("_n", "right_name")
 
 
 def clusters(entities: DataFrame, compared: DataFrame, automatic: float = CONFIRMED) -> DataFrame:

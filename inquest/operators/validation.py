@@ -76,14 +76,23 @@ def _named(low: Column, column: str, name: str) -> Column:
     return F.coalesce(F.transform(low, lambda x: F.struct(F.lit("low_confidence_field").alias("flag"), F.concat(F.lit(f"{column}:"), x[name]).alias("field"))), none)
 
 
-def escalations(extractions: DataFrame) -> DataFrame:
-    """Documents that a second, stronger extraction should read: document_id, n_flags, escalate.
+def escalations(extractions: DataFrame, mismatches: DataFrame | None = None, disagreements: DataFrame | None = None) -> DataFrame:
+    """Documents that a second, stronger extraction should read: document_id, n_flags, escalate, reasons.
 
-    A critical flag, more than MOST_FLAGS flags, or an overall confidence clearly below the review threshold.
+    A critical flag, an arithmetic mismatch, more than MOST_FLAGS flags of all kinds, or an overall confidence clearly below
+    the review threshold. mismatches: document_id of failed sums; disagreements: document_id, a row for each value that two runs read differently.
     """
-    flags = rule_flags(extractions).select("document_id", (F.col("severity") == "critical").cast("int").alias("critical")).unionByName(confidence_flags(extractions).select("document_id", F.lit(0).alias("critical")))
-    counted = flags.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_flags"), F.max("critical").alias("critical"))
+    no = F.lit(0)
+    parts = [(rule_flags(extractions), (F.col("severity") == "critical").cast("int"), no), (confidence_flags(extractions), no, no)]
+    parts += [(rows, no, F.lit(wrong)) for rows, wrong in ((mismatches, 1), (disagreements, 0)) if rows is not None]
+    every = None
+    for rows, critical, wrong in parts:
+        one = rows.select("document_id", critical.alias("critical"), wrong.alias("wrong"))
+        every = one if every is None else every.unionByName(one)
+    counted = every.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_flags"), F.max("critical").alias("critical"), F.max("wrong").alias("wrong"))
     joined = extractions.select("document_id", "overall_confidence").join(counted, "document_id", "left")
     n = F.coalesce("n_flags", F.lit(0))
-    low = F.coalesce(F.col("overall_confidence") < REVIEW - ESCALATION_MARGIN, F.lit(False))
-    return joined.select("document_id", n.alias("n_flags"), ((F.coalesce("critical", F.lit(0)) == 1) | (n > MOST_FLAGS) | low).alias("escalate"))
+    reasons = F.array_compact(
+        F.array(F.when(F.col("critical") == 1, "critical_flag"), F.when(F.col("wrong") == 1, "arithmetic_mismatch"), F.when(n > MOST_FLAGS, "too_many_flags"), F.when(F.col("overall_confidence") < REVIEW - ESCALATION_MARGIN, "low_confidence"))
+    )
+    return joined.select("document_id", n.alias("n_flags"), (F.size(reasons) > 0).alias("escalate"), reasons.alias("reasons"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from inquest.operators import anomaly, centrality, communities, paths, projection, temporal
 from inquest.operators.components import components
+from inquest.operators.provenance import REFERENCE
 from inquest.storage import stored
 
 TYPES = {"target_entity_types", "include_event_interactions"}
@@ -75,6 +76,7 @@ class Graph:
     nodes: DataFrame
     events: DataFrame
     edges: DataFrame
+    references: DataFrame | None = None
 
 
 @dataclass
@@ -124,7 +126,9 @@ def validate(w: Workflow) -> list[tuple[str, str]]:
         if s.id in seen:
             found.append(("DUPLICATE_NODE_ID", s.id))
         seen.add(s.id)
-        if set(c) - ALLOWED[s.type]:
+        if s.type not in ALLOWED:
+            found.append(("UNKNOWN_NODE_TYPE", s.id))
+        elif set(c) - ALLOWED[s.type]:
             found.append(("UNKNOWN_NODE_CONFIG", s.id))
         found += [("MISSING_NODE_CONFIG", s.id) for k in REQUIRED.get(s.type, ()) if k not in c]
         if "depth" in c and (not isinstance(c["depth"], int) or not 1 <= c["depth"] <= 10):
@@ -180,7 +184,7 @@ def _scope(graph: Graph, near: list[Result]) -> Graph:
             edges = graph.edges
             for end in ("source_id", "target_id"):
                 edges = edges.join(ids.select(F.col("node_id").alias(end)), end, "left_semi")
-            return Graph(nodes, events, edges)
+            return Graph(nodes, events, edges, graph.references)
     return graph
 
 
@@ -220,11 +224,8 @@ def _analytics(graph: Graph, c: dict, near: list[Result]) -> dict:
     return {"metrics": metrics, "communities": communities.communities(pairs, ids), "key_individuals": communities.key_individuals(metrics), "bridges": communities.bridges(pairs, metrics)}
 
 
-def _apart(events: DataFrame, ids: DataFrame, target: anomaly.Span, baseline: anomaly.Span) -> DataFrame:
-    """New pairs between components of the baseline's pairs; events count that have an eligible end, and isolated eligible entities are their own component."""
-    eligible = lambda end: ids.select(F.col("node_id").alias(end), F.lit(True).alias(f"{end}_in"))
-    sides = ("source_entity_id", "target_entity_id")
-    near = stored(events.join(eligible(sides[0]), sides[0], "left").join(eligible(sides[1]), sides[1], "left").where(" OR ".join(f"{s}_in" for s in sides)).select(events.columns), "eligible-events")
+def _apart(near: DataFrame, ids: DataFrame, target: anomaly.Span, baseline: anomaly.Span) -> DataFrame:
+    """New pairs between components of the baseline's pairs; isolated eligible entities are their own component."""
     old = anomaly.pair_totals(near, baseline)
     parts = stored(components(old.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("node").alias("node_id"), "component"), "baseline-components")
     alone = ids.join(parts, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))
@@ -232,20 +233,21 @@ def _apart(events: DataFrame, ids: DataFrame, target: anomaly.Span, baseline: an
 
 
 def _anomalies(graph: Graph, c: dict, near: list[Result]) -> dict:
-    """All five detectors, ranked. The types of entities do not narrow this step; components and path centralities are those of persons."""
+    """All five detectors over the events with a person at one end, ranked. Spikes are those of persons; a step's own types do not narrow it."""
     target = _span(c, "target_")
     baseline = anomaly.baseline_for(target, _span(c, "baseline_") if "baseline_start" in c else None)
     title = lambda text: F.lit(text)
     pairs, ids = _network(graph, {})
+    events = stored(projection.touching(graph.events, ids, ("source_entity_id", "target_entity_id")), "eligible-events")
     central = centrality.path_centralities(pairs, ids)
     labels = graph.nodes.select(F.col("node_id").alias("entity_id"), "label").dropDuplicates(["entity_id"])
-    converging = anomaly.convergence(graph.events, central, target, baseline).join(labels, "entity_id", "left")
+    converging = anomaly.convergence(events, central, target, baseline).join(labels, "entity_id", "left")
     role = F.concat(F.lit("Network-bridge role coincides with unusual activity: "), F.coalesce("label", "entity_id"))
     parts = [
-        anomaly.as_findings(anomaly.activity_spikes(graph.events, target, baseline), "ACTIVITY_SPIKE", "peak_count", title("Unusual activity spike")),
-        anomaly.as_findings(anomaly.novel_relationships(graph.events, target, baseline), "NOVEL_RELATIONSHIP", "target_count", title("New interaction detected")),
-        anomaly.as_findings(anomaly.interaction_bursts(graph.events, target, baseline), "INTERACTION_BURST", "peak_count", title("Unusual interaction burst")),
-        anomaly.as_findings(_apart(graph.events, ids, target, baseline), "CROSS_COMMUNITY_ACTIVITY", "target_count", title("New cross-community interaction")),
+        anomaly.as_findings(anomaly.activity_spikes(events, target, baseline).join(ids.select(F.col("node_id").alias("entity_id")), "entity_id", "left_semi"), "ACTIVITY_SPIKE", "peak_count", title("Unusual activity spike")),
+        anomaly.as_findings(anomaly.novel_relationships(events, target, baseline), "NOVEL_RELATIONSHIP", "target_count", title("New interaction detected")),
+        anomaly.as_findings(anomaly.interaction_bursts(events, target, baseline), "INTERACTION_BURST", "peak_count", title("Unusual interaction burst")),
+        anomaly.as_findings(_apart(events, ids, target, baseline), "CROSS_COMMUNITY_ACTIVITY", "target_count", title("New cross-community interaction")),
         anomaly.as_findings(converging, "STRUCTURAL_ACTIVITY_CONVERGENCE", "target_event_count", role),
     ]
     every = reduce(DataFrame.unionByName, parts)
@@ -262,11 +264,34 @@ def _path(graph: Graph, c: dict, near: list[Result]) -> dict:
 
 
 def _review(graph: Graph, c: dict, near: list[Result]) -> dict:
-    wanted = graph.nodes.where(F.col("node_id").isin([*c.get("entity_ids", []), *c.get("event_ids", [])]))
-    for r in near:
-        if "node_ids" in r.output:
-            wanted = wanted.unionByName(graph.nodes.join(r.output["node_ids"], "node_id", "left_semi"))
-    return {"evidence": wanted.dropDuplicates(["node_id"]), "relationships": graph.edges.where(F.col("edge_id").isin(list(c.get("relationship_ids", []))))}
+    """The nodes and relationships that the step names or, where it names none of a kind, that its inputs found; their findings, and the references of all.
+
+    Source references come from `graph.references` (object_id and the columns of a reference), one row each.
+    """
+    def wanted(column: str, *settings: tuple[str, str]) -> DataFrame | None:
+        every = None
+        for setting, output in settings:
+            given = [str(x) for x in c.get(setting, [])]
+            frames = [graph.nodes.sparkSession.createDataFrame([(x,) for x in given], f"{column} string")] if given else [r.output[output].select(F.col(r.output[output].columns[0]).cast("string").alias(column)) for r in near if output in r.output]
+            for rows in frames:
+                every = rows if every is None else every.unionByName(rows)
+        return every
+
+    ids, links = wanted("node_id", ("entity_ids", "node_ids"), ("event_ids", "event_ids")), wanted("edge_id", ("relationship_ids", "edge_ids"))
+    nodes = graph.nodes.join(ids, "node_id", "left_semi").dropDuplicates(["node_id"]) if ids is not None else graph.nodes.where("false")
+    edges = graph.edges.join(links, "edge_id", "left_semi").dropDuplicates(["edge_id"]) if links is not None else graph.edges.where("false")
+    out = {"evidence": nodes, "relationships": edges}
+    chosen = [str(x) for x in c.get("finding_ids", [])]
+    found = [r.output["findings"] for r in near if "findings" in r.output]
+    if found:
+        findings = reduce(lambda a, b: a.unionByName(b), found)
+        out["findings"] = findings.where(F.col("finding_id").isin(chosen)) if chosen else findings
+    if graph.references is not None:
+        seen = nodes.select(F.col("node_id").alias("object_id"), F.col("kind").alias("object_type"), F.lit(0).alias("_turn")).unionByName(edges.select(F.col("edge_id").alias("object_id"), F.lit("RELATIONSHIP").alias("object_type"), F.lit(1).alias("_turn")))
+        held = graph.references.select("object_id", *REFERENCE).join(seen, "object_id")
+        first = held.groupBy(*REFERENCE).agg(F.min(F.struct("_turn", "object_id", "object_type")).alias("_first"))
+        out["references"] = first.select("_first.object_id", "_first.object_type", *REFERENCE)
+    return out
 
 
 def _report(graph: Graph, c: dict, near: list[Result]) -> dict:
@@ -281,7 +306,7 @@ RUN: dict[str, Callable[[Graph, dict, list[Result]], dict]] = {
     "GRAPH_ANALYTICS": _analytics,
     "KEY_INDIVIDUALS": lambda g, c, n: {"key_individuals": communities.key_individuals(_metrics(*_network(g, c)), c.get("top_k", 10))},
     "COMMUNITY_DETECTION": lambda g, c, n: {"communities": communities.communities(*_network(g, c))},
-    "BRIDGE_ANALYSIS": lambda g, c, n: {"bridges": communities.bridges((p := _network(g, c))[0], _metrics(*p))},
+    "BRIDGE_ANALYSIS": lambda g, c, n: {"bridges": communities.bridges((p := _network(g, c))[0], _metrics(*p), float(c.get("minimum_cross_community_ratio", 0.5)))},
     "ANOMALY_DETECTION": _anomalies,
     "SHORTEST_PATH": _path,
     "EVIDENCE_REVIEW": _review,
