@@ -6,8 +6,10 @@ and how often each content and each presentation (the sequence of child tags)
 occurs there. A content that is on c of a node's m pages has entropy log_m(c):
 0 when it is unique, 1 when every page has it. Node importance is one minus the
 mean entropy over its contents (or presentations, for a node without text), so
-that template branches score near 0 and articles near 1. Low branches go; what
-markup itself names as menu, advert, form or comment goes as well, since
+that template branches score near 0 and articles near 1. A branch combines the
+importance of its presentation with that of all contents below it, weighted by
+their number: low branches go as a whole, rare texts in them too. What markup
+itself names as menu, advert, form or comment goes as well, since
 adverts with changing text look important to the tree. A name in a class, id or
 role is only a sign: a branch around the main root, or with nearly all of the
 text, stays. The main root is the kind of root with most of the important text.
@@ -30,6 +32,8 @@ from inquest.llm.common import batch, in_arrow, stored, text_of
 
 #: A node is judged on this many pages of a host at least, and goes below this importance.
 LEAST_PAGES, LOW = 5, 0.2
+#: The share of the presentation in the importance of a branch, the contents below it have the rest.
+PRESENTATION = 0.1
 #: A branch whose class, id or role names it as no article stays when it holds this share of a page's text at least.
 STORY = 0.75
 #: Template nodes inside an article go only where the host's articles score this at least (not on hosts of copies).
@@ -63,19 +67,20 @@ _HIDDEN = re.compile(r"""\shidden(?:[\s>=/]|$)|display\s*:\s*none""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 OUTSIDE, MAIN, ARTICLE = range(3)
+BRANCH = 3  # in the place of a root: the row says that a node of text lies below a branch
 
 
 class Block:
     """A run of text without a block boundary inside: its style node, text, place and why it may be left out.
 
     signs: the elements around it whose class, id or role holds a word of NAMED, and `below` how many of them stand
-    outside of its root element.
+    outside of its root element. path: the style nodes from the root to its own.
     """
 
-    __slots__ = ("node", "text", "root", "named", "heading", "signs", "below")
+    __slots__ = ("node", "text", "root", "named", "heading", "signs", "below", "path")
 
-    def __init__(self, node: int, text: str, root: int, named: bool, heading: bool, signs: tuple, below: int):
-        self.node, self.text, self.root, self.named, self.heading, self.signs, self.below = node, text, root, named, heading, signs, below
+    def __init__(self, path: tuple, text: str, root: int, named: bool, heading: bool, signs: tuple, below: int):
+        self.node, self.text, self.root, self.named, self.heading, self.signs, self.below, self.path = path[-1], text, root, named, heading, signs, below, path
 
 
 def blocks(page: str, shapes: Counter | None = None) -> list[Block]:
@@ -90,9 +95,9 @@ def blocks(page: str, shapes: Counter | None = None) -> list[Block]:
             s = "".join(text)
             text.clear()
             if s := " ".join((html.unescape(s) if "&" in s else s).split()):
-                block = next(x for x in reversed(stack) if x[0] in BLOCK or not x[0])
+                path = tuple(x[1] for x in stack if x[0] in BLOCK or not x[0])
                 _, _, root, named, heading, _, signs, below = stack[-1]
-                out.append(Block(block[1], s, root, named, heading, signs, below))
+                out.append(Block(path, s, root, named, heading, signs, below))
 
     def close() -> None:
         tag, node, _, _, _, children, _, _ = stack.pop()
@@ -170,19 +175,21 @@ def blocks(page: str, shapes: Counter | None = None) -> list[Block]:
     return out
 
 
-def main_text(page: str, low: set[int], varied: bool) -> str:
+def main_text(page: str, low: set[int], varied: bool, cut: set[int] | frozenset[int] = frozenset()) -> str:
     """The article of a page: its blocks in page order, one a line.
 
-    low: the host's style nodes of low importance; varied: whether the host's articles differ.
+    low: the host's style nodes of low importance; cut: its branches of low importance, with all below them; varied:
+    whether the host's articles differ.
     """
     found = [b for b in blocks(page) if not b.named]
+    template = {b for b in found if b.node in low or not cut.isdisjoint(b.path)}
     size: Counter = Counter()  # important text of each element with a sign, and of the page
     for b in found:
-        size.update(dict.fromkeys((*b.signs, "page"), len(b.text) if b.node not in low else 0))
+        size.update(dict.fromkeys((*b.signs, "page"), len(b.text) if b not in template else 0))
     large = {e for e, n in size.items() if n and n >= STORY * size["page"]}
     inside: Counter = Counter()  # important text of each kind of root and the signs around it, but for what has more signs
     for b in found:
-        if b.node not in low and large.issuperset(b.signs[b.below :]):
+        if b not in template and large.issuperset(b.signs[b.below :]):
             inside[b.root, b.signs[: b.below]] += len(b.text)
     best = max((k for k in inside if k[0] != OUTSIDE), key=lambda k: (inside[k], k[0]), default=None)
     plain = max((inside[k] for k in inside if large.issuperset(k[1])), default=0)
@@ -190,18 +197,18 @@ def main_text(page: str, low: set[int], varied: bool) -> str:
     found = [b for b in found if large.union(around).issuperset(b.signs)]
     of_root: Counter = Counter()
     for b in found:
-        of_root[b.root] += len(b.text) if b.node not in low else 0
+        of_root[b.root] += len(b.text) if b not in template else 0
     root = max(of_root, key=lambda r: (of_root[r], r), default=OUTSIDE)
     first = next((i for i, b in enumerate(found) if b.root == root), 0)
     found = [b for i, b in enumerate(found) if b.root >= root or (b.root == MAIN and b.heading and i < first)]
-    if low and (root == OUTSIDE or varied):
-        kept = [b for b in found if b.node not in low or (b.heading and root != OUTSIDE)]
+    if template and (root == OUTSIDE or varied):
+        kept = [b for b in found if b not in template or (b.heading and root != OUTSIDE)]
         found = kept or found
     return "\n".join(b.text for b in found)
 
 
-def style_nodes(pages: DataFrame) -> DataFrame:
-    """The merged trees of `pages(host, html)`: host, node, root, n_pages and importance of each style node.
+def style_nodes(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The merged trees of `pages(host, html)`: host, node, root, n_pages, total and importance of each style node, and host, branch, n_pages and importance of each branch.
 
     Page counts are summed inside each batch before the shuffle, so a host with most of the pages sends few rows.
     """
@@ -213,23 +220,32 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             seen: Counter = Counter()
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
                 shapes: Counter = Counter()
-                own = {(x.node, x.root, xxhash.xxh64_intdigest(x.text) >> 1) for x in blocks(page, shapes)}
+                found = blocks(page, shapes)
+                own = {(x.node, x.root, xxhash.xxh64_intdigest(x.text) >> 1) for x in found}
                 with_text = {x[0] for x in own}
                 own |= {(node, OUTSIDE, shape) for node, shape in shapes if node not in with_text}
                 own |= {(node, root, -1) for node, root, _ in own}
+                own |= {(above, BRANCH, path[-1]) for path in {x.path for x in found} for above in path if above}
                 seen.update((host, *x) for x in own)
             if seen:
                 rows = list(seen)
                 yield batch(arrow, {k: [r[i] for r in rows] for i, k in enumerate(arrow.names[:-1])} | {"n": [seen[r] for r in rows]})
 
     counts = in_arrow(pages.select("host", "html"), count, schema).groupBy("host", "node", "root", "content").agg(F.sum("n").alias("n"))
+    counts = stored(counts, "style-counts")  # nodes and branches both read it
     own = F.when(F.col("content") >= 0, F.col("n"))
-    found = counts.groupBy("host", "node", "root").agg(
+    found = counts.where(F.col("root") < BRANCH).groupBy("host", "node", "root").agg(
         F.max(F.when(F.col("content") < 0, F.col("n"))).alias("n_pages"), F.sum(own).alias("total"), F.sum(own * F.ln(own)).alias("entropy")
     )
     # entropy: the sum of c ln c; over the total and ln m it is the mean of log_m c.
     importance = F.when(F.col("n_pages") < 2, 1.0).otherwise(1 - F.col("entropy") / F.col("total") / F.ln("n_pages"))
-    return found.select("host", "node", "root", "n_pages", "total", importance.alias("importance"))
+    nodes = stored(found.select("host", "node", "root", "n_pages", "total", importance.alias("importance")), "style-nodes")
+    links = counts.where(F.col("root") == BRANCH).select("host", F.col("node").alias("branch"), F.col("content").alias("node"), F.col("n").alias("pages"))
+    below = links.join(nodes.select("host", "node", "total", "importance"), ["host", "node"]).groupBy("host", "branch")
+    mean = below.agg(F.max("pages").alias("n_pages"), (F.sum(F.col("total") * F.col("importance")) / F.sum("total")).alias("content"))
+    look = nodes.join(links.select("host", "node").distinct(), ["host", "node"], "left_anti").groupBy("host", F.col("node").alias("branch")).agg(F.min("importance").alias("look"))
+    both = PRESENTATION * F.col("look") + (1 - PRESENTATION) * F.col("content")
+    return nodes, mean.join(look, ["host", "branch"], "left").select("host", "branch", "n_pages", F.coalesce(both, "content").alias("importance"))
 
 
 def extract(pages: DataFrame, url: str = "url", content: str = "html") -> DataFrame:
@@ -237,25 +253,27 @@ def extract(pages: DataFrame, url: str = "url", content: str = "html") -> DataFr
 
     Null, empty and text-free pages give the empty text. Pages without a usable URL form one host. Hosts with under
     LEAST_PAGES pages, and nodes seen on fewer, are judged by markup alone. Repeated rows stay and count as pages.
-    If every block of a page is template, the page keeps them (a host of copies).
+    If every block of a page is template, the page keeps them (a host of copies). Very long pages are read whole. Columns
+    named `_host`, `_low`, `_cut`, `_varied`, `_of` or `_html` are working columns here: existing ones of these names are left out.
     """
     host = F.lower(F.regexp_extract(text_of(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    kept = [f for f in pages.schema if f.name not in ("text", "_host", "_low", "_varied")]
-    keyed = pages.withColumn("_host", host)
-    nodes = style_nodes(keyed.select(F.col("_host").alias("host"), text_of(content).alias("html")))
+    kept = [f for f in pages.schema if f.name not in ("text", "_host", "_low", "_cut", "_varied", "_of", "_html")]
+    keyed = pages.select(*(f.name for f in kept), host.alias("_host"), text_of(content).alias("_html"))
+    nodes, branches = style_nodes(keyed.select(F.col("_host").alias("host"), F.col("_html").alias("html")))
     low = F.collect_set(F.when((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LOW), F.col("node")))
     inside = F.when(F.col("root") == ARTICLE, F.col("total"))
     varied = F.coalesce(F.sum(inside * F.col("importance")) / F.sum(inside) >= VARIED, F.lit(False))
-    hosts = nodes.groupBy("host").agg(low.alias("_low"), varied.alias("_varied")).where(F.size("_low") > 0)
+    cut = branches.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).groupBy("host").agg(F.collect_set("branch").alias("_cut"))
+    hosts = nodes.groupBy("host").agg(low.alias("_low"), varied.alias("_varied")).join(cut, "host", "left").where((F.size("_low") > 0) | F.col("_cut").isNotNull())
     # Written first: its size is then known, so a small table is broadcast and a large one joined by shuffle.
-    hosts = stored(hosts, "style-nodes").withColumnRenamed("host", "_of")
-    joined = keyed.join(hosts, F.col("_host") == F.col("_of"), "left").select(*(f.name for f in kept), F.col("_low"), F.col("_varied"), text_of(content).alias("_html"))
+    hosts = stored(hosts, "style-hosts").withColumnRenamed("host", "_of")
+    joined = keyed.join(hosts, F.col("_host") == F.col("_of"), "left").select(*(f.name for f in kept), F.col("_low"), F.col("_cut"), F.col("_varied"), "_html")
     schema = StructType([*kept, StructField("text", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column("_html").to_pylist(), b.column("_low").to_pylist(), b.column("_varied").to_pylist())
-            made = pa.array([main_text(page, set(low or ()), bool(varied)) for page, low, varied in rows], pa.string())
+            rows = zip(*(b.column(c).to_pylist() for c in ("_html", "_low", "_varied", "_cut")))
+            made = pa.array([main_text(page, set(low or ()), bool(varied), set(cut or ())) for page, low, varied, cut in rows], pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), made], names=[*(f.name for f in kept), "text"])
 
     return in_arrow(joined, run, schema)
