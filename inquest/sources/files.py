@@ -9,7 +9,7 @@ UPLOAD_BYTES = 25 << 20
 
 
 def scan(spark: SparkSession, path: str, most: int = UPLOAD_BYTES) -> DataFrame:
-    """Files below a path, up to a size: filename, length, content, file_hash_sha256."""
+    """Files below a path, up to a size: filename, length, content, file_hash_sha256. Spark reads no row from an empty file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= most)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content", F.sha2("content", 256).alias("file_hash_sha256"))
 
