@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inquest.llm import byte_bpe, chunking, embeddings, jaccard, mixing, passages, pii, quality, style_tree, warc
+from inquest.llm import byte_bpe, chunking, embeddings, jaccard, mixing, passages, pii, quality, ranking, spelling, style_tree, url_rules, warc
 from inquest.llm.common import table
 
 
@@ -61,6 +61,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict about the URL of every page."""
+    return url_rules.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op12_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every item of the benchmark."""
+    return ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents with their near words and forms."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -73,8 +88,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embeddings": op8_embeddings,
         "op9_quality": op9_quality,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_urls": op11_urls,
+        "op12_ranking": op12_ranking,
+        "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op6_warc": warc.SQL}
+    return {"op1_mixing": mixing.SQL, "op6_warc": warc.SQL, "op11_urls": url_rules.SQL, "op12_ranking": ranking.SQL}
