@@ -154,6 +154,22 @@ def pagerank_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centrality.pagerank(g, views.pair_nodes(g), rounds=20, tolerance=0).withColumn("pagerank", F.round("pagerank", 6))
 
 
+def _between_sql(graph: str, steps: int) -> str:
+    """u(a, owed): for each node the shares of shortest paths between all others that lead through it, both directions; paths are counted level by level out and summed up on the way back."""
+    parts = [_walk_sql(graph, "true", steps), "p0 AS MATERIALIZED (SELECT s, t, CAST(1 AS DOUBLE) AS w FROM k0)"]
+    for i in range(steps):
+        parts.append(f"p{i + 1} AS MATERIALIZED (SELECT p.s, k.t, sum(p.w) AS w FROM p{i} p JOIN e ON e.a = p.t JOIN k ON k.s = p.s AND k.t = e.b AND k.d = {i + 1} GROUP BY p.s, k.t)")
+    parts.append(f"o{steps} AS MATERIALIZED (SELECT s, t, w, CAST(0 AS DOUBLE) AS o FROM p{steps})")
+    for i in range(steps - 1, 0, -1):
+        got = f"SELECT c.s, e.b AS t, sum((1 + c.o) / c.w) AS x FROM o{i + 1} c JOIN e ON e.a = c.t GROUP BY ALL"
+        parts.append(f"o{i} AS MATERIALIZED (SELECT p.s, p.t, p.w, coalesce(p.w * x.x, 0) AS o FROM p{i} p LEFT JOIN ({got}) x USING (s, t))")
+    every = " UNION ALL ".join(f"SELECT t, o FROM o{i}" for i in range(1, steps + 1))
+    return f"{', '.join(parts)}, u AS (SELECT t AS a, sum(o) AS owed FROM ({every}) GROUP BY t), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v)"
+
+
+BETWEEN = "SELECT v.a AS node_id, round(coalesce(owed, 0) / ((n - 1) * (n - 2)), 6) AS betweenness_centrality FROM v LEFT JOIN u USING (a), n"
+
+
 @query(f"""{_walk_sql(REPEATED, 'true', STEPS)}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v)
 SELECT s AS node_id, round(power(count(*) - 1, 2) / sum(d) / any_value(n.n - 1), 6) AS closeness_centrality FROM k, n GROUP BY s""")
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,9 +178,16 @@ def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centrality.path_centralities(g, views.pair_nodes(g)).select("node_id", F.round("closeness_centrality", 6).alias("closeness_centrality"))
 
 
-@query()
+@query(f"{_between_sql(NETWORK, 4)} {BETWEEN}")
+def betweenness_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Betweenness on all pairs; no two nodes are further apart than four steps."""
+    g = network(spark, sf_dir)
+    return centrality.path_centralities(g, views.pair_nodes(g)).select("node_id", F.round("betweenness_centrality", 6).alias("betweenness_centrality"))
+
+
+@query(f"{_between_sql(REPEATED, STEPS)} {BETWEEN}")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Betweenness on the repeat pairs (counts of paths between all nodes: no SQL)."""
+    """Betweenness on the repeat pairs."""
     g = repeated(spark, sf_dir)
     return centrality.path_centralities(g, views.pair_nodes(g)).select("node_id", F.round("betweenness_centrality", 6).alias("betweenness_centrality"))
 
@@ -176,12 +199,24 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.communities(g, views.pair_nodes(g))
 
 
-@query()
+def _removal_sql() -> str:
+    """h(x, groups): for each node x the parts that its neighbours fall into once it is removed, numbered among all parts of what is left."""
+    parts = ["c0 AS MATERIALIZED (SELECT x.a AS x, y.a, y.a AS label FROM v x JOIN v y ON x.a <> y.a)"]
+    for i in range(STEPS):
+        near = f"SELECT c.x, e.a, min(c.label) AS label FROM c{i} c JOIN e ON e.b = c.a WHERE e.a <> c.x GROUP BY ALL"
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.x, c.a, least(c.label, coalesce(n.label, c.label)) AS label FROM c{i} c LEFT JOIN ({near}) n USING (x, a))")
+    parts.append(f"numbers AS (SELECT x, label, row_number() OVER (PARTITION BY x ORDER BY label) AS i FROM (SELECT DISTINCT x, label FROM c{STEPS}))")
+    parts.append(f"h AS (SELECT x, list_sort(list(DISTINCT 'LOCAL_' || x || '_' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END)) AS groups FROM c{STEPS} c JOIN e ON e.a = c.x AND e.b = c.a JOIN numbers USING (x, label) GROUP BY x)")
+    return ", ".join(parts)
+
+
+@query(f"""{_between_sql(REPEATED, STEPS)}, {_removal_sql()} SELECT x AS node_id, len(groups) AS n_parts, array_to_string(groups, ',') AS neighbor_groups,
+round(least(1, 0.65 * coalesce(owed, 0) / ((n - 1) * (n - 2)) + 0.35), 6) AS bridge_score FROM h LEFT JOIN u ON u.a = x, n WHERE len(groups) > 1""")
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that hold the repeat pairs together."""
     g = repeated(spark, sf_dir)
     found = roles.bridges(g, centrality.path_centralities(g, views.pair_nodes(g)))
-    return found.select("node_id", "n_parts", F.round("bridge_score", 6).alias("bridge_score"))
+    return found.select("node_id", "n_parts", F.array_join("neighbor_groups", ",").alias("neighbor_groups"), F.round("bridge_score", 6).alias("bridge_score"))
 
 
 def metrics(g: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inquest.operators.numbering import positions
 from inquest.operators.projection import both_ways
 from inquest.storage import stored
 
@@ -41,12 +42,9 @@ def search(pairs: DataFrame, source: str, target: str | None = None) -> DataFram
         step += 1
         met = frontier.select(F.col("node_id").alias("parent"), "visit").join(ways, F.col("parent") == F.col("node_id")).select(F.col("neighbor_id").alias("node_id"), "parent", "visit")
         new = met.join(reached.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min(F.struct("visit", "parent")).alias("by"))
-        order = F.row_number().over(Window.partitionBy("visit_of").orderBy("node_id"))
-        # Visits follow the parent's visit, then the id; the pair of both orders them without a global sort.
-        ranked = new.select("node_id", F.lit(step).alias("distance"), F.col("by.parent").alias("parent"), F.col("by.visit").alias("visit_of")).withColumn("place", order)
-        sizes = ranked.groupBy("visit_of").agg(F.count(F.lit(1)).alias("n"))
-        before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("visit_of").rowsBetween(Window.unboundedPreceding, -1)))
-        placed = ranked.join(before, "visit_of").select("node_id", "distance", "parent", (F.coalesce("before", F.lit(0)) + F.col("place")).alias("visit"))
+        # Visits follow the parent's visit, then the id.
+        ranked = new.select("node_id", F.lit(step).alias("distance"), F.col("by.parent").alias("parent"), F.col("by.visit").alias("visit_of"))
+        placed = positions(ranked, "visit_of", "node_id", name="visit").select("node_id", "distance", "parent", "visit")
         frontier = stored(placed, "search")
         if frontier.isEmpty():
             break

@@ -5,8 +5,9 @@ from collections import deque
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from inquest.operators import centrality, communities, paths
+from inquest.operators import centrality, communities, numbering, paths
 
 
 def _near(pairs, nodes):
@@ -40,9 +41,10 @@ def graph(spark):
     return nodes, pairs, frame, spark.createDataFrame([(n,) for n in nodes], "node_id string")
 
 
-@pytest.mark.parametrize("most", [centrality.MOST_BROADCAST, 0])
-def test_path_centralities(graph, monkeypatch, most):
+@pytest.mark.parametrize("most, live", [(centrality.MOST_BROADCAST, 0), (0, 30 * 16)])
+def test_path_centralities(graph, monkeypatch, most, live):
     monkeypatch.setattr(centrality, "MOST_BROADCAST", most)
+    monkeypatch.setattr(centrality, "MOST_LIVE", live)
     nodes, pairs, frame, ids = graph
     near, n = _near(pairs, nodes), len(nodes)
     far = {s: _reach(near, s) for s in nodes}
@@ -59,16 +61,82 @@ def test_path_centralities(graph, monkeypatch, most):
     assert all(got[v].betweenness_centrality == pytest.approx(between[v]) and got[v].closeness_centrality == pytest.approx(close[v]) for v in nodes)
 
 
-def test_cut_nodes(graph, spark):
-    nodes, pairs, frame, ids = graph
+def _components(near):
+    return sorted({min(_reach(near, n)[0]): sorted(_reach(near, n)[0]) for n in near}.values())
+
+
+def _random(rng, size, n_pairs):
+    nodes = [f"N{k:02d}" for k in range(size)]
+    rng.shuffle(nodes)
+    return sorted(nodes), sorted({tuple(sorted(rng.sample(nodes[: size - 3], 2))) for _ in range(n_pairs)})
+
+
+@pytest.mark.parametrize("most, seed", [(communities.MOST_IN_TASK, 1), (0, 2)])
+def test_cut_nodes(spark, monkeypatch, most, seed):
+    monkeypatch.setattr(communities, "MOST_IN_TASK", most)
+    nodes, pairs = _random(random.Random(seed), 26, (24, 30, 20)[seed - 1])
     near, want = _near(pairs, nodes), {}
     for v in nodes:
-        if near[v]:
-            parts = {frozenset(_reach(near, y, without=v)[0]) for y in near[v]}
-            if len(parts) > 1:
-                want[v] = len(parts)
-    zero = spark.createDataFrame([(n, 0.0) for n in nodes], "node_id string, betweenness_centrality double")
-    assert {r.node_id: r.n_parts for r in communities.bridges(frame, zero).collect()} == want
+        rest = {n: near[n] - {v} for n in nodes if n != v}
+        number = {n: i for i, part in enumerate(_components(rest), 1) for n in part}
+        groups = sorted({f"LOCAL_{v}_{number[n]:03d}" for n in near[v]})
+        if len(groups) > 1:
+            want[v] = groups
+    assert want
+    between = {n: random.Random(n).randint(0, 3) / 10 for n in nodes}
+    got = communities.bridges(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame(list(between.items()), "node_id string, betweenness_centrality double")).collect()
+    assert {r.node_id: r.neighbor_groups for r in got} == want and all(r.n_parts == len(want[r.node_id]) for r in got)
+    order = sorted(want, key=lambda v: (-min(1.0, 0.65 * between[v] + 0.35), -between[v], v))
+    assert [r.node_id for r in sorted(got, key=lambda r: r.rank)] == order
+
+
+def test_bridges_name_the_communities_of_neighbours(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    metrics = spark.createDataFrame([(n, 0.0) for n in "abcd"], "node_id string, betweenness_centrality double")
+    named = spark.createDataFrame([("a", "X"), ("b", "X"), ("c", "Y"), ("d", "Y")], "node_id string, community_id string")
+    got = {r.node_id: r.neighbor_groups for r in communities.bridges(pairs, metrics, communities=named).collect()}
+    assert got == {"b": ["X", "Y"], "c": ["X", "Y"]}
+    assert communities.bridges(pairs.limit(0), metrics).count() == 0
+
+
+@pytest.mark.parametrize("most, seed", [(communities.MOST_IN_TASK, 5), (0, 6)])
+def test_communities_follow_the_plain_sweep(spark, monkeypatch, most, seed):
+    monkeypatch.setattr(communities, "MOST_IN_TASK", most)
+    nodes, pairs = _random(random.Random(seed), 24, 40)
+    near = _near(pairs, nodes)
+    label = {n: n for n in nodes}
+    for _ in range(communities.MOST_SWEEPS):
+        before = dict(label)
+        for n in nodes:
+            if near[n]:
+                votes = [label[m] for m in near[n]]
+                label[n] = min(votes, key=lambda v: (-votes.count(v), v))
+        if label == before:
+            break
+    groups = {}
+    for n in nodes:
+        groups.setdefault(label[n], []).append(n)
+    want = {n: (f"COMM_{i:03d}", len(g)) for i, g in enumerate(sorted(groups.values()), 1) for n in g}
+    got = communities.communities(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(n,) for n in nodes], "node_id string"))
+    assert {r.node_id: (r.community_id, r.member_count) for r in got.collect()} == want
+
+
+def test_numbers_in_a_global_order(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.randint(0, 50), k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, k int").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1], r[2]))
+    assert [r.k for r in sorted(numbering.positions(df, "v", "k").collect(), key=lambda r: r.position)] == [r[2] for r in order]
+    sums, total = {}, 0
+    for r in order:
+        total += r[1]
+        sums[r[2]] = total
+    assert {r.k: r.running for r in numbering.running_sums(df, "v", "v", "k").collect()} == sums
+    ranked = numbering.ranks(df, ["g"], F.desc("v"), "k").collect()
+    for g in ("a", "b", "hot", None):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [(r.k, r.rank) for r in sorted((r for r in ranked if r.g == g), key=lambda r: r.rank)] == [(r[2], i) for i, r in enumerate(mine, 1)]
+    assert numbering.positions(df.limit(0), "v").count() == 0
 
 
 def test_shortest_paths(graph):
