@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inquest.functions.text import folded, key_form, phone, ratio, token_jaccard
 from inquest.operators.components import components
+from inquest.operators.leaves import leaves
+from inquest.operators.numbering import ranks
+from inquest.operators.similar import letters, set_pairs
 from inquest.storage import stored
 
 # Weights of the signals, thresholds of the statuses, and the gate below which a pair is no candidate.
@@ -24,52 +29,117 @@ STRONG_TYPES = ("PHONE", "ACCOUNT", "VEHICLE", "DEVICE", "IDENTIFIER", "IP", "EM
 def token_pairs(entities: DataFrame, least: float) -> DataFrame:
     """Pairs of entities (id, name, type) of one type whose names share words: left_id, right_id, jaccard.
 
-    Pairs meet on shared words, so a pair without one is never built; a word's hub is dealt by the join like any skewed key.
+    Pairs meet on the rarest of their words, as many as the likeness leaves room to miss: a common word is no key.
+    """
+    worded = entities.select("id", F.col("type").alias("block"), F.filter(F.split(key_form(F.col("name")), " "), lambda w: w != "").alias("items"))
+    pairs = set_pairs(worded, least)
+    jaccard = F.col("common") / (F.col("n_left") + F.col("n_right") - F.col("common"))
+    return pairs.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), jaccard.alias("jaccard"))
+
+
+def similar_names(names: DataFrame, least: float = NAME_GATE) -> DataFrame:
+    """Distinct names (type, name) in normal form -> (type, left, right, likeness): all pairs of one type at or above `least`, the left one first in order.
+
+    The likeness is the larger one of the ratio of matched characters and of the share of common words. No name matches
+    more characters than it has in common with the other in any order, so pairs are found by their characters, and those
+    of common words by their words; then both measures are computed.
     """
-    worded = entities.select("id", "type", F.array_distinct(F.split(key_form(F.col("name")), " ")).alias("words"))
-    words = worded.select("id", "type", F.size("words").alias("n"), F.explode("words").alias("word"))
-    left = words.select(F.col("id").alias("left_id"), "type", "word", F.col("n").alias("n_left"))
-    right = words.select(F.col("id").alias("right_id"), "type", "word", F.col("n").alias("n_right"))
-    shared = left.join(right, ["type", "word"]).where("left_id < right_id").groupBy("left_id", "right_id", "n_left", "n_right").agg(F.count(F.lit(1)).alias("k"))
-    jaccard = F.col("k") / (F.col("n_left") + F.col("n_right") - F.col("k"))
-    return shared.select("left_id", "right_id", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
+    known = stored(names.where("name <> ''").select(F.concat_ws("\u0001", "type", "name").alias("id"), F.col("type").alias("block"), "name").distinct(), "names")
+    by_letters = set_pairs(letters(known), least, "dice", 2)
+    by_words = set_pairs(known.select("id", "block", F.split("name", " ").alias("items")), least)
+    pairs = by_letters.select("left_id", "right_id").unionByName(by_words.select("left_id", "right_id"))
+    cut = lambda c: F.substring_index(c, "\u0001", -1)
+    turned = pairs.select(F.substring_index("left_id", "\u0001", 1).alias("type"), F.least(cut("left_id"), cut("right_id")).alias("left"), F.greatest(cut("left_id"), cut("right_id")).alias("right")).distinct()
+    likeness = F.round(F.greatest(ratio(F.col("left"), F.col("right")), token_jaccard(F.col("left"), F.col("right"))), 6)
+    return turned.withColumn("likeness", likeness).where(F.col("likeness") >= least)
+
+
+def _normalized_key(key: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(key), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def attribute_values(entities: DataFrame) -> DataFrame:
+    """Entities (id, attributes) -> id, key, value: every plain value of every attribute; values that are JSON lists or objects are taken apart."""
+    return stored(leaves(entities.select("id", F.explode("attributes").alias("key", "value")), "value", "id", "key"), "attribute-values")
+
+
+def _identifying(kind: Column, value: Column) -> Column:
+    """A value as an identifier of a kind: digits of phone numbers, else lower-case letters and digits."""
+    return F.when(kind.isin(*PHONE_KEYS), phone(value)).otherwise(F.regexp_replace(F.lower(value), "[^a-z0-9]", ""))
 
 
-def identifiers(entities: DataFrame) -> DataFrame:
+def identifiers(entities: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Strong identifiers of entities (id, type, name, attributes): id, kind, value in comparable form. The name of an account, a vehicle and the like is one."""
-    kind = F.regexp_replace(F.lower("key"), "[^a-z]+", "_")
-    held = entities.select("id", F.explode("attributes").alias("key", "value")).where("value <> ''").select("id", kind.alias("kind"), "value").where(F.col("kind").isin(*STRONG_KEYS))
+    values = attribute_values(entities) if values is None else values
+    kind = _normalized_key(F.col("key"))
+    held = values.select("id", kind.alias("kind"), folded(F.col("value")).alias("value")).where(F.col("kind").isin(*STRONG_KEYS))
     named = entities.where(F.upper("type").isin(*STRONG_TYPES)).select("id", F.lower("type").alias("kind"), F.col("name").alias("value"))
-    form = F.when(F.col("kind").isin(*PHONE_KEYS), phone(F.col("value"))).otherwise(F.regexp_replace(F.lower("value"), "[^a-z0-9]", ""))
-    return held.unionByName(named).select("id", "kind", form.alias("value")).where("value <> ''").distinct()
+    return held.unionByName(named).select("id", "kind", _identifying(F.col("kind"), F.col("value")).alias("value")).where("value <> ''").distinct()
 
 
-def blocked_pairs(entities: DataFrame) -> DataFrame:
-    """Pairs of one type that may pass the gate: they share an identifier, an attribute value, a word, or a pair of letters that starts a word.
+def _forms(values: DataFrame) -> DataFrame:
+    """Attribute values (id, key, value) as they are compared: identifiers by their kind, other values folded."""
+    kind = _normalized_key(F.col("key"))
+    form = F.when(kind.isin(*STRONG_KEYS), _identifying(kind, F.col("value"))).otherwise(folded(F.col("value")))
+    return values.select("id", "key", form.alias("value")).where("value <> ''")
 
-    A name likeness of the gate needs a common block of letters, which these blocks cover for all but scrambled names; names that
-    share no start of a word can be missed where the reference compares every pair.
+
+def _following(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Each row (id, name and `by`) with the MOST_CANDIDATES that follow it in its group, by name and id: left_id, right_id.
+
+    All pairs of such a group are candidates, so of each left entity no later one can be among its first. Ranks and the
+    ranks behind them are keys: however large a group is, its rows are spread and no more than these pairs are built.
     """
-    names = entities.select("id", "type", F.explode(F.split(key_form(F.col("name")), " ")).alias("word")).where("word <> ''")
-    blocks = names.select("id", "type", F.substring("word", 1, 2).alias("block"))
-    attributes = entities.select("id", "type", F.explode("attributes").alias("k", "v")).where("v <> ''").select("id", "type", F.concat_ws("=", F.lower("k"), key_form(F.col("v"))).alias("block"))
-    strong = identifiers(entities).join(entities.select("id", "type"), "id").select("id", "type", F.concat(F.lit("="), "value").alias("block"))
-    every = blocks.unionByName(attributes).unionByName(strong).distinct()
-    other = every.select(F.col("id").alias("right_id"), "type", "block")
-    return every.withColumnRenamed("id", "left_id").join(other, ["type", "block"]).where("left_id < right_id").select("left_id", "right_id").distinct()
-
-
-def _signals(entities: DataFrame, pairs: DataFrame) -> DataFrame:
-    strong = identifiers(entities).groupBy("id").agg(F.collect_set(F.struct("kind", "value")).alias("strong"))
-    named = entities.join(strong, "id", "left").select(
-        "id", folded(F.coalesce("normalized_name", "name")).alias("name"), F.lower("role").alias("role"), F.transform_values("attributes", lambda k, v: key_form(v)).alias("attributes"), "strong"
-    )
-    of = lambda side: named.select(F.col("id").alias(f"{side}_id"), F.struct(*named.columns).alias(side))
-    both = pairs.join(of("left"), "left_id").join(of("right"), "right_id")
-    place = lambda side: F.struct(F.col(f"{side}.name"), F.col(f"{side}.id"))
-    ahead = place("left") <= place("right")
-    turned = both.select(F.when(ahead, F.col("left")).otherwise(F.col("right")).alias("l"), F.when(ahead, F.col("right")).otherwise(F.col("left")).alias("r"))
-    return turned.select(*(F.col(f"{short}.{c}").alias(f"{side}_{c}") for short, side in (("l", "left"), ("r", "right")) for c in named.columns))
+    placed = stored(ranks(rows, by, "name", "id"), "group-ranks")
+    ahead = placed.select(F.col("id").alias("left_id"), *by, F.explode(F.sequence(F.col("rank") + 1, F.col("rank") + MOST_CANDIDATES)).alias("rank"))
+    return ahead.join(placed.select(F.col("id").alias("right_id"), *by, "rank"), [*by, "rank"]).select("left_id", "right_id")
+
+
+def _attribute_pairs(entities: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs of one type that may agree on ATTRIBUTE_GATE of their common keys: left_id, right_id.
+
+    Entities with the same keys form a pattern; two patterns fix how many keys a pair has in common. If it agrees on
+    enough of them, it agrees on one of any few: those with the most distinct values are compared.
+    """
+    keyed = stored(_forms(values).distinct().join(entities.select("id", "type"), "id"), "attribute-forms")
+    distinct = keyed.groupBy("type", "key").agg(F.count_distinct("value").alias("n"))
+    patterns = keyed.groupBy("id", "type").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    shapes = stored(patterns.select("type", "keys").distinct().withColumn("pattern", F.xxhash64("type", "keys")), "attribute-patterns")
+    each = shapes.select("type", "pattern", "keys", F.explode("keys").alias("key"))
+    other = each.select("type", "key", F.col("pattern").alias("right_pattern"))
+    common = each.select("type", "key", F.col("pattern").alias("left_pattern")).join(other, ["type", "key"]).join(distinct, ["type", "key"])
+    chosen = common.groupBy("type", "left_pattern", "right_pattern").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "key"))).alias("keys"))
+    c = F.size("keys")
+    few = chosen.select("left_pattern", "right_pattern", F.explode(F.slice("keys", F.lit(1), (c - F.ceil(c * ATTRIBUTE_GATE - 1e-9) + 1).cast("int"))).alias("k"))
+    few = stored(few.select("left_pattern", "right_pattern", F.col("k.key").alias("key")), "compared-keys")
+    of = patterns.select("id", F.xxhash64("type", "keys").alias("pattern"))
+    rows = stored(keyed.join(of, "id").select("id", "pattern", "key", F.xxhash64("value").alias("value")), "keyed-values")
+    left = rows.select(F.col("id").alias("left_id"), F.col("pattern").alias("left_pattern"), "key", "value").join(few, ["left_pattern", "key"])
+    right = rows.select(F.col("id").alias("right_id"), F.col("pattern").alias("right_pattern"), "key", "value")
+    return left.join(right, ["right_pattern", "key", "value"]).where("left_id < right_id").select("left_id", "right_id").distinct()
+
+
+def _prepared(entities: DataFrame, values: DataFrame) -> DataFrame:
+    """Entities with the forms that are compared: name, role, sets of values by attribute, strong identifiers."""
+    sets = _forms(values).groupBy("id", "key").agg(F.collect_set("value").alias("values"))
+    attributes = sets.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", "values"))).alias("attributes"))
+    strong = identifiers(entities, values).groupBy("id").agg(F.collect_set(F.struct("kind", "value")).alias("strong"))
+    named = entities.select("id", "type", folded(F.coalesce(F.nullif("normalized_name", F.lit("")), "name")).alias("name"), F.nullif(folded(F.col("role")), F.lit("")).alias("role"))
+    return stored(named.join(attributes, "id", "left").join(strong, "id", "left"), "prepared-entities")
+
+
+def candidate_pairs(entities: DataFrame, values: DataFrame, prepared: DataFrame) -> DataFrame:
+    """left_id, right_id: all pairs of one type that pass the gate, but those behind the MOST_CANDIDATES first ones of the left entity."""
+    own = prepared.select("id", "type", "name")
+    strong = prepared.select("id", "type", "name", F.explode(F.array_distinct(F.transform("strong", lambda x: x["value"]))).alias("value"))
+    found = [_following(own.where("name <> ''"), ["type", "name"]).withColumnRenamed("left_id", "l"), _following(strong, ["type", "value"]).withColumnRenamed("left_id", "l"), _attribute_pairs(entities, values).withColumnRenamed("left_id", "l")]
+    alike = stored(similar_names(own), "similar-names")
+    # Of the similar names of a name the first ones are enough, as each has an entity; of each of these the first entities.
+    near = alike.withColumn("_n", F.row_number().over(Window.partitionBy("type", "left").orderBy("right"))).where(F.col("_n") <= MOST_CANDIDATES)
+    firsts = ranks(own.where("name <> ''"), ["type", "name"], "id").where(F.col("rank") <= MOST_CANDIDATES)
+    met = own.select(F.col("id").alias("l"), "type", F.col("name").alias("left")).join(near.select("type", "left", "right"), ["type", "left"])
+    found.append(met.join(firsts.select(F.col("id").alias("right_id"), "type", F.col("name").alias("right")), ["type", "right"]).select("l", "right_id"))
+    return reduce(DataFrame.unionByName, found).select(F.col("l").alias("left_id"), "right_id").distinct()
 
 
 def candidates(entities: DataFrame) -> DataFrame:
@@ -77,19 +147,31 @@ def candidates(entities: DataFrame) -> DataFrame:
 
     The left one of a pair comes first by normalised name, then id; at most 50 per left entity, in the same order of the right one.
 
-    entities: id, type, name, normalized_name, role, attributes (map of text). Signals that are absent do not weigh. Strong
-    identifiers match by value whatever their kind; different ones of one kind, with none in common, contradict and cost PENALTY.
+    entities: id, type, name, normalized_name, role, attributes (map of texts; lists and objects as JSON). Signals that
+    are absent do not weigh. Strong identifiers match by value whatever their kind; different ones of one kind, with none
+    in common, contradict and cost PENALTY. Attributes agree where they share a value. Ids name an entity once; null
+    names and attributes are absent; an empty table gives an empty result.
     """
-    both = _signals(entities, blocked_pairs(entities))
-    name = F.greatest(ratio(F.col("left_name"), F.col("right_name")), token_jaccard(F.col("left_name"), F.col("right_name")))
+    values = attribute_values(entities)
+    prepared = _prepared(entities, values)
+    of = lambda side: prepared.select(F.col("id").alias(f"{side}_id"), F.struct(*prepared.columns).alias(side))
+    both = candidate_pairs(entities, values, prepared).join(of("left"), "left_id").join(of("right"), "right_id")
+    place = lambda side: F.struct(F.coalesce(F.col(f"{side}.name"), F.lit("")), F.col(f"{side}.id"))
+    ahead = place("left") <= place("right")
+    turned = both.select(F.when(ahead, F.col("left")).otherwise(F.col("right")).alias("l"), F.when(ahead, F.col("right")).otherwise(F.col("left")).alias("r"))
+    both = stored(turned.select(*(F.col(f"{short}.{c}").alias(f"{side}_{c}") for short, side in (("l", "left"), ("r", "right")) for c in prepared.columns)).dropDuplicates(["left_id", "right_id"]), "compared-pairs")
     l, r = F.col("left_strong"), F.col("right_strong")
-    values = lambda c: F.transform(c, lambda x: x["value"])
-    same = F.coalesce(F.arrays_overlap(values(l), values(r)), F.lit(False))
+    values_of = lambda c: F.transform(c, lambda x: x["value"])
+    same = F.coalesce(F.arrays_overlap(values_of(l), values_of(r)), F.lit(False))
     kinds = lambda c: F.transform(c, lambda x: x["kind"])
     common_kind = F.coalesce(F.arrays_overlap(kinds(l), kinds(r)), F.lit(False))
+    named = lambda side: F.filter(F.col(f"{side}_strong"), lambda x: x["kind"] == F.lower(F.col(f"{side}_type")))
+    same_name = F.upper("left_type").isin(*STRONG_TYPES) & F.coalesce(F.arrays_overlap(named("left"), named("right")), F.lit(False))
+    alike = F.greatest(ratio(F.col("left_name"), F.col("right_name")), token_jaccard(F.col("left_name"), F.col("right_name")))
+    name = F.when((F.col("left_name") == F.col("right_name")) & (F.col("left_name") != "") | same_name, 1.0).otherwise(F.round(F.coalesce(F.when((F.col("left_name") != "") & (F.col("right_name") != ""), alike), F.lit(0.0)), 6))
     keys = F.array_intersect(F.map_keys("left_attributes"), F.map_keys("right_attributes"))
-    agree = F.size(F.filter(keys, lambda k: F.element_at("left_attributes", k) == F.element_at("right_attributes", k)))
-    attribute = F.when(F.size(keys) > 0, agree / F.size(keys))
+    agree = F.size(F.filter(keys, lambda k: F.arrays_overlap(F.element_at("left_attributes", k), F.element_at("right_attributes", k))))
+    attribute = F.when(F.size(keys) > 0, F.round(agree / F.size(keys), 6))
     role = F.when(F.col("left_role").isNotNull() & F.col("right_role").isNotNull(), (F.col("left_role") == F.col("right_role")).cast("double"))
     made = both.select("left_id", "right_id", "right_name", name.alias("name"), F.when(l.isNotNull() & r.isNotNull(), same.cast("double")).alias("strong"), attribute.alias("attribute"), role.alias("role"), (common_kind & ~same).alias("contradicted"))
     gated = made.where((F.col("name") >= NAME_GATE) | (F.col("strong") > 0) | (F.col("attribute") >= ATTRIBUTE_GATE))
@@ -97,7 +179,7 @@ def candidates(entities: DataFrame) -> DataFrame:
     worth: Column = sum(F.coalesce(F.col(s), F.lit(0.0)) * w for s, w in WEIGHTS.items())
     score = F.greatest(F.lit(0.0), worth / weight - F.when(F.col("contradicted"), PENALTY).otherwise(0.0))
     scored = gated.withColumn("score", F.round(score, 6))
-    status = F.when(F.col("contradicted"), "CONTRADICTED").when(F.col("score") >= CONFIRMED, "CONFIRMED").when(F.col("score") >= PROBABLE, "PROBABLE").when(F.col("score") >= POSSIBLE, "POSSIBLE").otherwise("UNRESOLVED")
+    status = F.when(F.col("contradicted") & (F.col("score") < CONFIRMED), "CONTRADICTED").when(F.col("score") >= CONFIRMED, "CONFIRMED").when(F.col("score") >= PROBABLE, "PROBABLE").when(F.col("score") >= POSSIBLE, "POSSIBLE").otherwise("UNRESOLVED")
     first = F.row_number().over(Window.partitionBy("left_id").orderBy("right_name", "right_id"))
     found = scored.withColumn("status", status).withColumn("_n", first).where(F.col("_n") <= MOST_CANDIDATES)
     reasons = F.array_compact(F.array(F.when(F.col("name") >= NAME_GATE, "similar_name"), F.when(F.col("strong") > 0, "shared_identifier"), F.when(F.col("attribute") > 0, "shared_attributes"), F.when(F.col("role") > 0, "same_role"), F.when(F.col("contradicted"), "contradictory_identifier")))
