@@ -133,8 +133,8 @@ def test_evidence_graph(spark):
 def test_cases(spark):
     parties = spark.createDataFrame([("c", "d1", 1, 0, "Mr Asha Rao", "x"), ("c", "d2", 2, 0, "asha", "y"), ("c", "d2", 2, 1, "Al", "z")], "case_id string, document_id string, ord int, pos int, name string, role string")
     assert _rows(crossdoc.persons(parties), "person", "n_documents", "n_mentions") == [("Asha Rao", 2, 2)]
-    items = spark.createDataFrame([("c", "d1", "FIR No", "12/24"), ("c", "d2", "fir", "13/24"), ("c", "d2", "Mobile", "5")], "case_id string, document_id string, type string, value string")
-    assert _rows(crossdoc.identifiers(items), "category", "value") == [("FIR_NUMBER", "12/24"), ("FIR_NUMBER", "13/24")]
+    items = spark.createDataFrame([("c", "d1", 1, 0, "FIR No", "12/24"), ("c", "d2", 2, 0, "fir", "13/24"), ("c", "d2", 2, 1, "Mobile", "5")], "case_id string, document_id string, ord int, pos int, type string, value string")
+    assert _rows(crossdoc.identifiers(items), "category", "value") == [("FIR / Crime No", "12/24"), ("FIR / Crime No", "13/24")]
 
 
 def test_review_step_and_unknown_type(spark):
