@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inquest.catalog import contract, extraction, graph, records, store, temporal  # noqa: F401  they register their queries
+from inquest.catalog import cases, contract, extraction, graph, records, store, temporal  # noqa: F401  they register their queries
 from inquest.catalog.registry import QUERIES, SQL, Query
 
 

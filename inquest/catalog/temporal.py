@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from inquest import views
 from inquest.catalog.registry import query
-from inquest.operators import anomaly, temporal
+from inquest.operators import anomaly, findings, temporal
 from inquest.operators.components import components
-from inquest.storage import table
+from inquest.storage import stored, table
 
 TARGET = (dt.datetime(2024, 1, 24), dt.datetime(2024, 1, 31) - anomaly.MICRO)
 BASELINE = (dt.datetime(2024, 1, 17), dt.datetime(2024, 1, 24) - anomaly.MICRO)
@@ -196,3 +196,49 @@ def findings_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Unusual activity spike for "), "entity_id")
     found = anomaly.ranked(anomaly.as_findings(spikes, "ACTIVITY_SPIKE", "peak_count", title))
     return found.select("finding_id", "anomaly_type", "entity_id", "event_count", F.round("score", 6).alias("score"), "severity", "status")
+
+
+_ENDS = "ends AS (SELECT event_id, start_at, src AS entity_id FROM m UNION ALL SELECT event_id, start_at, dst FROM m)"
+#: Findings of four detectors over the interactions; the fifth needs centralities of one half, which no node of this network has.
+_REPORT = f"""RECURSIVE {MET}, {_ENDS}, old AS (SELECT DISTINCT src, dst FROM m WHERE {between('start_at', MONTH_BEFORE)}),
+e AS (SELECT src AS a, dst AS b FROM old UNION SELECT dst, src FROM old), v AS (SELECT DISTINCT entity_id AS a FROM ends),
+r(a, b) AS (SELECT a, a FROM v UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), part AS (SELECT a, min(b) AS part FROM r GROUP BY a),
+names AS (SELECT a, dense_rank() OVER (ORDER BY part) AS i FROM part), comp AS (SELECT a, 'BASE_COMM_' || CASE WHEN i < 1000 THEN lpad(CAST(i AS VARCHAR), 3, '0') ELSE CAST(i AS VARCHAR) END AS comp FROM names),
+fresh AS (SELECT src, dst, count(*) AS n FROM m WHERE {between('start_at', YEAR)} GROUP BY ALL), novel AS (SELECT * FROM fresh ANTI JOIN old USING (src, dst)),
+spikes AS (WITH {peak_sql("ends", "entity_id", "start_at", YEAR, MONTH_BEFORE, WIDE_MINUTES)} SELECT * FROM f WHERE score > 0),
+bursts AS (WITH {peak_sql("m", "src, dst", "start_at", YEAR, MONTH_BEFORE, WIDE_MINUTES)} SELECT * FROM f WHERE score > 0 AND peak_count >= 3),
+every AS (
+  SELECT 'ACTIVITY_SPIKE' AS anomaly_type, entity_id, NULL AS source_entity_id, NULL AS target_entity_id, score, 'Unusual activity spike for ' || entity_id AS title,
+    'Activity reached ' || peak_count || ' event(s) in one {WIDE_MINUTES}-minute bucket, versus a baseline mean of ' || printf('%.2f', mean) || '.' AS explanation, peak_start FROM spikes
+  UNION ALL SELECT 'NOVEL_RELATIONSHIP', NULL, src, dst, least(1.0, n / 2.0), 'New interaction detected: ' || src || ' ↔ ' || dst,
+    'The pair has ' || n || ' time-stamped interaction event(s) in the target window and no time-stamped interaction events in the baseline window.', NULL FROM novel
+  UNION ALL SELECT 'INTERACTION_BURST', NULL, src, dst, score, 'Unusual interaction burst', 'The relationship produced ' || peak_count || ' event(s) in one {WIDE_MINUTES}-minute bucket, versus a baseline mean of ' || printf('%.2f', mean) || '.', peak_start FROM bursts
+  UNION ALL SELECT 'CROSS_COMMUNITY_ACTIVITY', NULL, src, dst, 0.5 + 0.5 * n / (n + 1.0), 'New cross-community interaction', 'The target window introduces a new interaction between baseline components ' || x.comp || ' and ' || y.comp || '.', NULL
+    FROM novel JOIN comp x ON src = x.a JOIN comp y ON dst = y.a WHERE x.comp <> y.comp
+), top AS (
+  SELECT *, round(CAST(score AS DOUBLE), 12) AS s, row_number() OVER (ORDER BY round(CAST(score AS DOUBLE), 12) DESC, anomaly_type, coalesce(entity_id, source_entity_id), coalesce(target_entity_id, ''), title) AS n FROM every QUALIFY n <= 100
+)"""
+
+
+def interaction_findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = stored(views.interactions(spark, sf_dir), "interactions")
+    nodes = events.select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("node_id")).distinct().withColumn("label", F.col("node_id"))
+    return findings.report(nodes, events, YEAR, MONTH_BEFORE, WIDE_MINUTES), events
+
+
+@query(f"""WITH {_REPORT} SELECT 'ANOM_' || lpad(CAST(n AS VARCHAR), 4, '0') AS finding_id, anomaly_type, entity_id, source_entity_id, target_entity_id, round(s, 6) AS score,
+CASE WHEN s >= 0.8 THEN 'HIGH' WHEN s >= 0.55 THEN 'MEDIUM' ELSE 'LOW' END AS severity, title, explanation FROM top""")
+def findings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred leads of all detectors about the half-year, in words: a ranked report."""
+    found, _ = interaction_findings(spark, sf_dir)
+    return found.select("finding_id", "anomaly_type", "entity_id", "source_entity_id", "target_entity_id", F.round("score", 6).alias("score"), "severity", "title", "explanation")
+
+
+@query(f"""WITH {_REPORT}, inside AS (SELECT *, {bucketed('start_at', WIDE_MINUTES)} AS b FROM m WHERE {between('start_at', YEAR)})
+SELECT DISTINCT 'ANOM_' || lpad(CAST(n AS VARCHAR), 4, '0') AS finding_id, 'EVENT' AS object_type, CAST(event_id AS VARCHAR) AS object_id FROM top JOIN inside
+  ON (entity_id IN (src, dst) OR (source_entity_id = src AND target_entity_id = dst)) AND (peak_start IS NULL OR peak_start = b)
+UNION SELECT 'ANOM_' || lpad(CAST(n AS VARCHAR), 4, '0'), 'RELATIONSHIP', event_id || '-' || dst FROM top JOIN m ON source_entity_id = src AND target_entity_id = dst""")
+def findings_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events and relationships that these leads rest on."""
+    found, events = interaction_findings(spark, sf_dir)
+    return findings.support(found, events, views.interaction_edges(spark, sf_dir), YEAR, WIDE_MINUTES)

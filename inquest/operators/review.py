@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inquest.functions.numbers import numbered
+from inquest.operators.numbering import ranks
+from inquest.storage import stored
+
 #: Tolerances of arithmetic and dual-run checks.
 ARITHMETIC, DUAL_RUN = 0.02, 0.05
 
@@ -14,19 +18,72 @@ def compact(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
 
-def contradictions(observations: DataFrame) -> DataFrame:
-    """Keys observed with more than one normalised value: key, n_values, n_observations, severity.
+def comparable(key: Column, value: Column) -> Column:
+    """A value as values of its key are compared: by letters and digits alone for case references and identifiers, else by words."""
+    by_signs = key.startswith("case_") | key.startswith("identifier:")
+    return F.when(by_signs, F.regexp_replace(compact(value), "[^a-z0-9]+", "")).otherwise(compact(value))
+
+
+# Words that make a field a case reference (one of each group), fields known by their words, first match wins.
+REFERENCE = (("fir", "crime", "case / fir", "case/fir", "case no", "case number"), ("number", "no", "ref", "reference"))
+FIELDS = {"police station": "police_station", "thana": "police_station", "district": "district", "mlc number": "mlc_number"}
+#: Values that a message names; it says how many more there are. The observations have all.
+NAMED = 20
+
 
-    observations: key, value. Empty and null values are ignored. Values of case and identifier keys are compared by their
-    letters and digits alone, others by their words. Only a conflict of case references weighs high.
+def semantic_key(field: Column) -> Column:
+    """What a field is about, whatever it is called: a case reference, a place, a date, an identifier; null for notes, summaries, rules and other fields."""
+    raw = compact(field)
+    label = F.trim(F.when(F.contains(raw, F.lit(":")), F.regexp_replace(raw, "^[^:]*:", "")).otherwise(raw))
+    words = F.trim(F.regexp_replace(label, "[^a-z0-9]+", " "))
+    some = lambda group: F.greatest(*(F.contains(label, F.lit(w)) for w in group))
+    found = F.when(label.rlike("^(?:notes|summary|rule)"), F.lit(None).cast("string")).when(some(REFERENCE[0]) & some(REFERENCE[1]), "case_reference")
+    for word, key in FIELDS.items():
+        found = found.when(F.contains(label, F.lit(word)), key)
+    found = found.when(F.contains(label, F.lit("fsl reference")) & ~F.contains(label, F.lit("crime")), "fsl_reference").when(F.contains(label, F.lit("date")), F.concat(F.lit("date:"), words))
+    return found.when(raw.rlike("^(?:id|identifier):"), F.concat(F.lit("identifier:"), words))
+
+
+def contradictions(observations: DataFrame, *by: str) -> DataFrame:
+    """Keys observed with more than one comparable value, within `by` (the case): by, key, n_values, n_observations, severity.
+
+    observations: by, key, value. Empty and null values are ignored. Only a conflict of case references weighs high.
     """
-    words = compact(F.col("value"))
-    by_signs = F.col("key").startswith("case_") | F.col("key").startswith("identifier:")
-    seen = observations.where(words != "").withColumn("norm", F.when(by_signs, F.regexp_replace(words, "[^a-z0-9]+", "")).otherwise(words))
-    found = seen.groupBy("key").agg(F.count_distinct("norm").alias("n_values"), F.count(F.lit(1)).alias("n_observations"))
+    seen = observations.where(compact(F.col("value")) != "").withColumn("norm", comparable(F.col("key"), F.col("value")))
+    found = seen.groupBy(*by, "key").agg(F.count_distinct("norm").alias("n_values"), F.count(F.lit(1)).alias("n_observations"))
     return found.where("n_values > 1").withColumn("severity", F.when(F.col("key") == "case_reference", "high").otherwise("medium"))
 
 
+def observed(fields: DataFrame) -> DataFrame:
+    """Fields of documents (case_id, document_id, filename, ord, pos, field_name, field_value) that may contradict each other: the same with key and value."""
+    rows = fields.withColumn("key", semantic_key(F.col("field_name"))).withColumn("value", F.trim("field_value"))
+    return rows.where("key is not null and value <> ''")
+
+
+def contradiction_report(seen: DataFrame) -> DataFrame:
+    """Observations from `observed` -> case_id, contradiction_id, type, severity, key, message, n_values, n_observations: a row per conflict of a case.
+
+    Ids are numbered in each case by key. The message names the first observed value of each comparable one, up to NAMED.
+    """
+    found = stored(contradictions(seen, "case_id"), "conflicts")
+    firsts = seen.withColumn("norm", comparable(F.col("key"), F.col("value"))).groupBy("case_id", "key", "norm").agg(F.min(F.struct("ord", "pos", "value")).alias("first"))
+    placed = ranks(firsts.join(found.select("case_id", "key"), ["case_id", "key"], "left_semi"), ["case_id", "key"], "norm", name="place").where(F.col("place") <= NAMED)
+    named = placed.groupBy("case_id", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "first"))), lambda x: x["first"]["value"]), ", ").alias("named"))
+    more = F.when(F.col("n_values") > NAMED, F.concat(F.lit(" and "), (F.col("n_values") - NAMED).cast("string"), F.lit(" more"))).otherwise("")
+    message = F.concat(F.lit("Conflicting values observed for '"), F.replace(F.col("key"), F.lit("_"), F.lit(" ")), F.lit("': "), F.col("named"), more)
+    suffix = F.replace(F.replace(F.col("key"), F.lit(":"), F.lit("-")), F.lit(" "), F.lit("-"))
+    rows = ranks(found.join(named, ["case_id", "key"]), ["case_id"], "key", name="number")
+    kind = F.when(F.col("key") == "case_reference", "IDENTIFIER_MISMATCH").otherwise("FIELD_VALUE_CONFLICT")
+    ident = F.concat(F.lit("CONTR-"), suffix, F.lit("-"), numbered("", F.col("number"), 3))
+    return rows.select("case_id", ident.alias("contradiction_id"), kind.alias("type"), "severity", "key", message.alias("message"), "n_values", "n_observations")
+
+
+def contradiction_observations(seen: DataFrame, report: DataFrame) -> DataFrame:
+    """The observations of the conflicts in the report, in rows: contradiction_id, place (by file, field and value), and the columns of `seen`."""
+    rows = seen.join(report.select("case_id", "key", "contradiction_id"), ["case_id", "key"])
+    return ranks(rows, ["case_id", "key"], "filename", "field_name", "value", "ord", "pos", name="place")
+
+
 def severity_counts(found: DataFrame) -> DataFrame:
     """Contradictions by severity: severity, n."""
     return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
@@ -34,7 +91,7 @@ def severity_counts(found: DataFrame) -> DataFrame:
 
 def first_observations(observations: DataFrame, *order: str) -> DataFrame:
     """The first observation, in this order, of each key and comparable value: key, norm, value and the columns of the order."""
-    seen = observations.withColumn("norm", compact(F.col("value"))).where("norm <> ''")
+    seen = observations.where(compact(F.col("value")) != "").withColumn("norm", comparable(F.col("key"), F.col("value")))
     return seen.groupBy("key", "norm").agg(F.min(F.struct(*order, "value")).alias("_first")).select("key", "norm", "_first.*")
 
 

@@ -17,8 +17,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inquest.operators import anomaly, centrality, communities, paths, projection, temporal
-from inquest.operators.components import components
+from inquest.operators import anomaly, centrality, communities, findings, paths, projection, temporal
 from inquest.operators.provenance import REFERENCE
 from inquest.storage import stored
 
@@ -165,11 +164,21 @@ def validate(w: Workflow) -> list[tuple[str, str]]:
     return found
 
 
-def execution_id(w: Workflow, graph: Graph) -> str:
-    """A stable id of the workflow over this graph's ids: they are hashed where they lie, and one number returns."""
-    marks = [rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(key))).first() for rows, key in ((graph.nodes, "node_id"), (graph.edges, "edge_id"))]
-    text = json.dumps([asdict(w), [list(m) for m in marks]], sort_keys=True, default=str)
-    return "EXEC-" + hashlib.sha256(text.encode()).hexdigest()[:16].upper()
+def execution_id(w: Workflow, graph: Graph, case_id: str | None = None, contract_version: str = "1.0.0") -> str:
+    """A stable id of the workflow over a case's graph, whatever the order of its rows: ids are hashed where they lie.
+
+    Each id's SHA-256 is cut into four numbers, and these are summed up; the sums, the number of ids, the workflow, the
+    case and the version of the contract make the id, 16 lower-case hexadecimal digits.
+    """
+
+    def mark(rows: DataFrame, key: str) -> list[str]:
+        digest = F.sha2(F.col(key).cast("string"), 256)
+        piece = lambda k: F.conv(F.substring(digest, 16 * k + 1, 15), 16, 10).cast("decimal(38,0)")
+        return [str(x) for x in rows.select(digest.alias("d"), *(piece(k).alias(f"p{k}") for k in range(4))).distinct().agg(F.count(F.lit(1)), *(F.sum(f"p{k}") for k in range(4))).first()]
+
+    known = {"case_id": case_id, "contract_version": contract_version, "node_ids": mark(graph.nodes, "node_id"), "edge_ids": mark(graph.edges, "edge_id")}
+    text = json.dumps({"workflow": asdict(w), "graph": known}, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
+    return "EXEC-" + hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
 def _scope(graph: Graph, near: list[Result]) -> Graph:
@@ -224,34 +233,15 @@ def _analytics(graph: Graph, c: dict, near: list[Result]) -> dict:
     return {"metrics": metrics, "communities": communities.communities(pairs, ids), "key_individuals": communities.key_individuals(metrics), "bridges": communities.bridges(pairs, metrics)}
 
 
-def _apart(near: DataFrame, ids: DataFrame, target: anomaly.Span, baseline: anomaly.Span) -> DataFrame:
-    """New pairs between components of the baseline's pairs; isolated eligible entities are their own component."""
-    old = anomaly.pair_totals(near, baseline)
-    parts = stored(components(old.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("node").alias("node_id"), "component"), "baseline-components")
-    alone = ids.join(parts, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component"))
-    return anomaly.cross_community(near, parts.unionByName(alone), target, baseline)
-
-
 def _anomalies(graph: Graph, c: dict, near: list[Result]) -> dict:
-    """All five detectors over the events with a person at one end, ranked. Spikes are those of persons; a step's own types do not narrow it."""
+    """All five detectors over the events with a person at one end, ranked, with what supports each finding. Spikes are those of persons; a step's own types do not narrow it."""
     target = _span(c, "target_")
-    baseline = anomaly.baseline_for(target, _span(c, "baseline_") if "baseline_start" in c else None)
-    title = lambda text: F.lit(text)
+    baseline = _span(c, "baseline_") if "baseline_start" in c else None
     pairs, ids = _network(graph, {})
     events = stored(projection.touching(graph.events, ids, ("source_entity_id", "target_entity_id")), "eligible-events")
-    central = centrality.path_centralities(pairs, ids)
-    labels = graph.nodes.select(F.col("node_id").alias("entity_id"), "label").dropDuplicates(["entity_id"])
-    converging = anomaly.convergence(events, central, target, baseline).join(labels, "entity_id", "left")
-    role = F.concat(F.lit("Network-bridge role coincides with unusual activity: "), F.coalesce("label", "entity_id"))
-    parts = [
-        anomaly.as_findings(anomaly.activity_spikes(events, target, baseline).join(ids.select(F.col("node_id").alias("entity_id")), "entity_id", "left_semi"), "ACTIVITY_SPIKE", "peak_count", title("Unusual activity spike")),
-        anomaly.as_findings(anomaly.novel_relationships(events, target, baseline), "NOVEL_RELATIONSHIP", "target_count", title("New interaction detected")),
-        anomaly.as_findings(anomaly.interaction_bursts(events, target, baseline), "INTERACTION_BURST", "peak_count", title("Unusual interaction burst")),
-        anomaly.as_findings(_apart(events, ids, target, baseline), "CROSS_COMMUNITY_ACTIVITY", "target_count", title("New cross-community interaction")),
-        anomaly.as_findings(converging, "STRUCTURAL_ACTIVITY_CONVERGENCE", "target_event_count", role),
-    ]
-    every = reduce(DataFrame.unionByName, parts)
-    return {"findings": anomaly.ranked(every, c.get("max_findings", anomaly.MOST_FINDINGS))}
+    people = graph.nodes.join(ids, "node_id", "left_semi").select("node_id", "label")
+    found = findings.report(people, events, target, baseline, metrics=centrality.path_centralities(pairs, ids), most=c.get("max_findings", anomaly.MOST_FINDINGS))
+    return {"findings": found, "support": findings.support(found, events, graph.edges, target)}
 
 
 def _path(graph: Graph, c: dict, near: list[Result]) -> dict:
@@ -284,8 +274,8 @@ def _review(graph: Graph, c: dict, near: list[Result]) -> dict:
     chosen = [str(x) for x in c.get("finding_ids", [])]
     found = [r.output["findings"] for r in near if "findings" in r.output]
     if found:
-        findings = reduce(lambda a, b: a.unionByName(b), found)
-        out["findings"] = findings.where(F.col("finding_id").isin(chosen)) if chosen else findings
+        every = reduce(lambda a, b: a.unionByName(b), found)
+        out["findings"] = every.where(F.col("finding_id").isin(chosen)) if chosen else every
     if graph.references is not None:
         seen = nodes.select(F.col("node_id").alias("object_id"), F.col("kind").alias("object_type"), F.lit(0).alias("_turn")).unionByName(edges.select(F.col("edge_id").alias("object_id"), F.lit("RELATIONSHIP").alias("object_type"), F.lit(1).alias("_turn")))
         held = graph.references.select("object_id", *REFERENCE).join(seen, "object_id")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inquest.functions.text import person_name
-from inquest.operators import crossdoc
+from inquest.operators import crossdoc, review
 
 PARTIES = "case_id string, document_id string, ord int, pos int, name string, role string"
 
@@ -90,3 +90,29 @@ def test_identifiers_and_timeline(case):
     _, dates, items = case
     assert [(r.place, r.category, r.value, r.n_documents) for r in sorted(crossdoc.identifiers(items).collect(), key=lambda r: r.place)] == [(1, "Police Station", "Agra", 2), (2, "FIR / Crime No", "9/24", 1), (3, "FIR / Crime No", "10/24", 1)]
     assert [r.document_id for r in sorted(crossdoc.timeline(dates).where("case_id = 'c'").collect(), key=lambda r: r.place)] == ["s", "r", "a", "a"]
+
+
+KEYS = {
+    "id:FIR Number": "case_reference", "Crime  ref": "case_reference", "fir": None, "id:Case No": "case_reference", "party:x Police Station": "police_station", "THANA": "police_station", "District": "district", "MLC number": "mlc_number",
+    "id:FSL Reference": "fsl_reference", "date:Seizure-Date": "date:seizure date", "identifier: PAN / card": "identifier:pan card", "notes:date": "date:date", "summary": None, "rule text": None, "rule:fir no": "case_reference", "party:accused_1": None, "id:a:b": "identifier:a b",
+}
+
+
+def test_semantic_keys(spark):
+    rows = spark.createDataFrame([(k,) for k in KEYS], "f string").select("f", review.semantic_key(F.col("f")).alias("key")).collect()
+    assert {r.f: r.key for r in rows} == KEYS
+
+
+def test_contradictions_stay_in_their_case(spark, monkeypatch):
+    monkeypatch.setattr(review, "NAMED", 2)
+    rows = [("c", "1", "f2", 1, 0, "id:FIR Number", "12/24"), ("c", "2", "f1", 2, 0, "id:FIR no", "12-24"), ("c", "3", "f3", 3, 0, "FIR number", "13/24"), ("d", "4", "f4", 4, 0, "id:FIR Number", "99"), ("c", "3", "f3", 3, 1, "District", "Agra"), ("c", "1", "f2", 1, 1, "district", " AGRA ")]
+    rows += [("c", str(k), "f9", k, 0, "id:pan", f"P{k}") for k in range(5, 8)] + [("c", "9", "f9", 9, 0, "id:pan", None), ("c", "9", "f9", 9, 1, "id:pan", "  ")]
+    seen = review.observed(spark.createDataFrame(rows, "case_id string, document_id string, filename string, ord int, pos int, field_name string, field_value string"))
+    report = review.contradiction_report(seen)
+    assert {tuple(r)[1:] for r in report.collect()} == {
+        ("CONTR-case_reference-001", "IDENTIFIER_MISMATCH", "high", "case_reference", "Conflicting values observed for 'case reference': 12/24, 13/24", 2, 3),
+        ("CONTR-identifier-pan-002", "FIELD_VALUE_CONFLICT", "medium", "identifier:pan", "Conflicting values observed for 'identifier:pan': P5, P6 and 1 more", 3, 3),
+    }
+    placed = sorted((r.place, r.filename, r.value) for r in review.contradiction_observations(seen, report).where("key = 'case_reference'").collect())
+    assert placed == [(1, "f1", "12-24"), (2, "f2", "12/24"), (3, "f3", "13/24")]
+    assert review.contradiction_report(seen.where("case_id = 'd'")).count() == 0

@@ -28,3 +28,22 @@ def test_all_detectors_are_in_the_anomaly_step(spark):
     # A lies on 5 of the 6 pairs of others, B on E's 3
     role = "Network-bridge role coincides with unusual activity: Name "
     assert of("STRUCTURAL_ACTIVITY_CONVERGENCE") == [("A", None, None, 9, role + "A"), ("B", None, None, 5, role + "B")]
+    held = {}
+    for r in results[0].output["support"].collect():
+        held.setdefault(r.finding_id, set()).add((r.object_type, r.object_id))
+    by = {(r.anomaly_type, r.entity_id or r.source_entity_id, r.target_entity_id): r for r in rows}
+    assert held[by["CROSS_COMMUNITY_ACTIVITY", "B", "E"].finding_id] == {("EVENT", "e30")}
+    spike = by["ACTIVITY_SPIKE", "A", None]
+    assert held[spike.finding_id] == {("EVENT", f"e{10 + k}") for k in range(9)} and spike.signals["target_peak_events"] == 9
+    assert spike.explanation.startswith("Activity reached 9 event(s) in one 60-minute bucket, versus a baseline mean of 0.")
+    assert by["CROSS_COMMUNITY_ACTIVITY", "B", "E"].explanation.endswith("between baseline components BASE_COMM_001 and BASE_COMM_002.")
+
+
+def test_execution_ids(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    edges = spark.createDataFrame([("r",)], "edge_id string")
+    plan = workflow.Workflow("W", [workflow.Step("s", "REPORT", {"title": "é"})])
+    first = workflow.execution_id(plan, workflow.Graph(nodes, None, edges), "case")
+    assert first == workflow.execution_id(plan, workflow.Graph(nodes.orderBy(nodes.node_id.desc()).unionByName(nodes), None, edges), "case")
+    others = [workflow.execution_id(plan, workflow.Graph(n, None, e), c) for n, e, c in ((nodes, edges, "other"), (nodes.limit(1), edges, "case"), (nodes, edges.limit(0), "case"))]
+    assert len({first, *others}) == 4 and first.startswith("EXEC-") and first[5:] == first[5:].lower() and len(first) == 21
