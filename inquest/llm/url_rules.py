@@ -63,6 +63,32 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULE
     return found
 
 
+def rules_by_join(addresses: DataFrame, rules: DataFrame) -> DataFrame:
+    """Distinct addresses (host, path) -> (_host, _path, _own): the longest of any number of rules (verdict, rule) that fits each.
+
+    An address meets rules by the ends of its host and by the starts of its path, of those lengths alone that rules of
+    the host have: equal keys, so neither a host of many rules nor one of many pages is compared pair by pair.
+    """
+    parts = rules.select("verdict", "rule", F.regexp_extract("rule", "^([^/]*)", 1).alias("at"), F.regexp_extract("rule", "^[^/]*(.*)", 1).alias("begin")).distinct()
+    parts = stored(parts, "url-rules")
+    labels = F.split("host", "[.]")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    named = addresses.where("host <> ''").select("host", "path", F.explode(ends).alias("at"))
+    sizes = stored(parts.select("at", F.length("begin").alias("size")).distinct(), "rule-sizes")
+    keyed = named.join(if_small(sizes), "at").where(F.length("path") >= F.col("size")).withColumn("begin", F.substring(F.col("path"), F.lit(1), F.col("size")))
+    met = keyed.join(if_small(parts), ["at", "begin"])
+    best = F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), (F.col("verdict") == ALLOW), F.col("rule")))
+    return met.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(best.alias("_own"))
+
+
+def decided(rows: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """Rows with host and path and `_own`, the struct (rule, verdict) of the longest rule that fits, else null. A short list of rules is part of the plan, a table is joined."""
+    if not isinstance(rules, DataFrame):
+        return rows.withColumn("_own", rule_for(F.col("host"), F.col("path"), rules))
+    found = stored(rules_by_join(rows.select("host", "path").distinct(), rules), "rules-of-urls")
+    return rows.join(if_small(found), (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").drop("_host", "_path")
+
+
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b.*?(?:</\1|\Z)|<(link|meta|base)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.S)
 _REFRESH = re.compile(r"\s*[0-9.]+\s*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"']+)", re.I)
@@ -107,26 +133,26 @@ def declared_links(pages: DataFrame, url: str = "url", content: str = "html") ->
     return in_arrow(some, run, "source string, target string")
 
 
-def blocked_aliases(links: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def blocked_aliases(links: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame = RULES) -> DataFrame:
     """Links (source, target) of URLs -> distinct `address`es of groups that hold a blocked address."""
     ends = links.select(address_of(F.col("source")).alias("a"), address_of(F.col("target")).alias("b")).where("a is not null and b is not null")
     groups = stored(components(ends), "alias-groups")
     as_url = F.concat(F.lit("://"), F.col("node"))
-    verdict = rule_for(host_of(as_url), path_of(as_url), rules)["verdict"]
-    blocked = stored(groups.where(verdict == BLOCK).select("component").distinct(), "blocked-groups")
+    judged = decided(groups.select("component", host_of(as_url).alias("host"), path_of(as_url).alias("path")), rules)
+    blocked = stored(judged.where(F.col("_own")["verdict"] == BLOCK).select("component").distinct(), "blocked-groups")
     return groups.join(if_small(blocked), "component", "left_semi").select(F.col("node").alias("address"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects: DataFrame | None = None, url: str = "url", content: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame = RULES, redirects: DataFrame | None = None, url: str = "url", content: str = "html") -> DataFrame:
     """Every page with `host`, `path`, `rule` (the longest that fits, else null) and `verdict`, allow or block.
 
-    `redirects` (source, target) are edges known from elsewhere, such as a crawler's log, besides those that pages
+    `rules` are a short list, or a table (verdict, rule) of any size. `redirects` (source, target) are edges known from elsewhere, such as a crawler's log, besides those that pages
     declare. Null urls and urls without `://` have an empty host and path, no rule and no aliases, and are allowed; null
     and empty html declares nothing; long html is searched whole. Repeated rows and urls stay and get the same verdict;
     of rules of one length an allow wins. An empty table gives an empty result. Columns of `pages` named `host`,
-    `path`, `rule`, `verdict`, `_address` or `_alias` are replaced or left out.
+    `path`, `rule`, `verdict`, `_address`, `_alias` or `_own` are replaced or left out.
     """
-    made = ("host", "path", "rule", "verdict", "_address", "_alias")
+    made = ("host", "path", "rule", "verdict", "_address", "_alias", "_own")
     kept = [c for c in pages.columns if c not in made and c != content]
     links = declared_links(pages, url, content)
     if redirects is not None:
@@ -134,8 +160,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, redirects:
     blocked = stored(blocked_aliases(links, rules), "blocked-aliases")
     at = text_of(url)
     own = pages.select(*kept, host_of(at).alias("host"), path_of(at).alias("path"), address_of(at).alias("_address"))
-    own = own.withColumn("_own", rule_for(F.col("host"), F.col("path"), rules))
-    met = own.join(if_small(blocked.withColumnRenamed("address", "_alias")), F.col("_address") == F.col("_alias"), "left")
+    met = decided(own, rules).join(if_small(blocked.withColumnRenamed("address", "_alias")), F.col("_address") == F.col("_alias"), "left")
     verdict = F.coalesce(F.col("_own")["verdict"], F.when(F.col("_alias").isNotNull(), F.lit(BLOCK)), F.lit(ALLOW))
     return met.select(*kept, "host", "path", F.col("_own")["rule"].alias("rule"), verdict.alias("verdict"))
 

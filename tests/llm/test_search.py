@@ -62,12 +62,31 @@ def test_block_decisions_reach_aliases(spark):
         (14, "http://com/fr/", canonical("http://com/de/")), (15, "http://z.net/", '<base href="http://com/de/"><link rel="Canonical" href=x>'), (16, "http://[bad/", canonical("http://[worse")),
     ]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, host string").repartition(3)
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(df).collect()}
+    got, joined = ({r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(df, rules).collect()} for rules in (url_rules.RULES, spark.createDataFrame(url_rules.RULES, "verdict string, rule string")))
+    assert got == joined
     links = [("a.net/1", "b.net/1"), ("b.net/1", "x.example.org/es/7"), ("example.org/y", "x.example.org/es/7"), ("a.net/2?q=1", "a.net/other"), ("com/fr/", "com/de/"), ("z.net/", "com/de/x")]
     assert got == plain_verdicts([p[:2] for p in pages], links)
     assert [got[k][3] for k in (1, 2, 3, 4, 5, 7, 9, 14, 15)] == ["block", "block", "block", "allow", "allow", "allow", "block", "allow", "block"]
 
 
+def test_many_rules_are_joined(spark):
+    rng = random.Random(7)
+    part = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))
+    rules = list({(rng.choice(["allow", "block"]), ".".join(part() for _ in range(rng.randint(1, 2))) + "/" + rng.choice(["", part(), part() + "/"])) for _ in range(150)}) + [("block", "ab"), ("allow", "a/"), ("block", "a/")]
+    pages = [(i, f"http://{'.'.join(part() for _ in range(rng.randint(1, 3)))}{rng.choice(['', '/', '/' + part(), '/' + part() + '/' + part()])}") for i in range(300)] + [(1000, None), (1001, "a/")]
+    got = url_rules.judge(spark.createDataFrame([(*p, None) for p in pages], "page_id long, url string, html string"), spark.createDataFrame(rules, "verdict string, rule string")).collect()
+    for r in got:
+        host, path = split_url(dict(pages)[r.page_id])
+        fits = []
+        for verdict, rule in rules:
+            at, slash, rest = rule.partition("/")
+            if host and (host == at or host.endswith("." + at)) and path.startswith(slash + rest):
+                fits.append((len(rule), verdict == "allow", rule, verdict))
+        want = max(fits)[2:] if fits else (None, "allow")
+        assert (r.rule, r.verdict) == want
+    assert len(got) == 302 and sum(r.rule is not None for r in got) > 60
+
+
 def test_redirects_from_elsewhere_and_chains(spark):
     pages = [(i, f"http://h{i}.net/") for i in range(40)] + [(99, "http://t.com/de/x")] * 2
     edges = [(f"http://h{i}.net/", f"https://h{i + 1}.net/") for i in range(0, 30)] + [("http://h30.net/#a", "http://t.com/de/x"), (None, "http://h35.net/"), ("", "x")]
