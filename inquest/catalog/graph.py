@@ -139,15 +139,16 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.search(g, seed(g)).select("node_id", "distance")
 
 
-def _rank_sql(rounds: int) -> str:
-    parts = [f"{NETWORK}, q AS (SELECT a, count(*) AS deg FROM e GROUP BY a), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), r0 AS (SELECT a, 1 / c.n AS r FROM v, c)"]
+def _ranks_of(rounds: int) -> list[str]:
+    """r0 and on: PageRank after each round."""
+    parts = ["q AS (SELECT a, count(*) AS deg FROM e GROUP BY a), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM v), r0 AS (SELECT a, 1 / c.n AS r FROM v, c)"]
     for i in range(rounds):
         got = f"(SELECT e.b AS a, sum(r{i}.r / q.deg) AS s FROM r{i} JOIN q USING (a) JOIN e USING (a) GROUP BY e.b)"
-        parts.append(f"r{i + 1} AS (SELECT v.a, 0.15 / c.n + 0.85 * coalesce(x.s, 0) AS r FROM v LEFT JOIN {got} x USING (a), c)")
-    return f"WITH {', '.join(parts)} SELECT a AS node_id, round(r, 6) AS pagerank FROM r{rounds}"
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT v.a, 0.15 / c.n + 0.85 * coalesce(x.s, 0) AS r FROM v LEFT JOIN {got} x USING (a), c)")
+    return parts
 
 
-@query(_rank_sql(20))
+@query(f"WITH {NETWORK}, {', '.join(_ranks_of(20))} SELECT a AS node_id, round(r, 6) AS pagerank FROM r20")
 def pagerank_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty rounds of PageRank on the network."""
     g = network(spark, sf_dir)
@@ -224,7 +225,13 @@ def metrics(g: DataFrame, ids: DataFrame) -> DataFrame:
     return projection.degrees(g, ids).join(centrality.path_centralities(g, ids), "node_id").join(centrality.pagerank(g, ids), "node_id")
 
 
-@query()
+@query(f"""{_between_sql(REPEATED, STEPS)}, {', '.join(_ranks_of(100))},
+near AS (SELECT s AS a, power(count(*) - 1, 2) / sum(d) / any_value(n.n - 1) AS close FROM k, n GROUP BY s),
+x AS (SELECT v.a, round(q.deg / greatest(1, n.n - 1), 12) AS deg, round(coalesce(owed, 0) / ((n.n - 1) * (n.n - 2)), 12) AS btw, round(close, 12) AS clo, round(r100.r, 12) AS pr
+  FROM v JOIN q USING (a) JOIN near USING (a) JOIN r100 USING (a) LEFT JOIN u USING (a), n),
+y AS (SELECT *, 0.25::DOUBLE * deg + 0.35::DOUBLE * btw + 0.15::DOUBLE * clo + 0.25::DOUBLE * pr AS influence FROM x), z AS (SELECT *, influence / (SELECT max(influence) FROM y) AS share, (SELECT avg(pr) FROM y) AS mean FROM y)
+SELECT row_number() OVER (ORDER BY share DESC, btw DESC, a) AS rank, a AS node_id, round(share, 6) AS influence_score, coalesce(nullif(concat_ws(',', CASE WHEN btw >= 0.5 THEN 'high_betweenness' END,
+  CASE WHEN deg >= 0.5 THEN 'high_connectivity' END, CASE WHEN clo >= 0.5 THEN 'short_network_distance' END, CASE WHEN pr >= mean THEN 'high_recursive_network_influence' END), ''), 'combined_network_metrics') AS reasons FROM z""")
 def key_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the repeat pairs ranked by influence."""
     g = repeated(spark, sf_dir)

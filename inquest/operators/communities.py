@@ -262,9 +262,10 @@ def bridges(pairs: DataFrame, metrics: DataFrame, minimum_ratio: float = 0.5, co
 
 
 def key_individuals(metrics: DataFrame, top_k: int | None = None) -> DataFrame:
-    """Nodes ranked by influence with the reasons: rank, node_id, influence_score, reasons. metrics: node_id and the four centralities."""
+    """Nodes ranked by influence with the reasons: rank, node_id, influence_score, reasons. metrics: node_id and the four centralities, of which twelve digits count: nodes in the same place in the network are equal."""
     if top_k is not None and top_k < 1:
         raise ValueError("top_k must be at least 1")
+    metrics = metrics.withColumns({c: F.round(c, 12) for c in INFLUENCE})
     influence = sum(w * F.col(c) for c, w in INFLUENCE.items())
     scored = normalized(stored(metrics.withColumn("influence_score", influence), "influence"), "influence_score")
     mean = scored.agg(F.avg("pagerank")).first()[0] or 0.0
