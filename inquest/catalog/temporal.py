@@ -139,6 +139,32 @@ def snapshot_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.delta(*(temporal.active_pairs(edges, lit(a), lit(z)) for a, z in (QUARTER, NEXT)))
 
 
+def _in_snapshot(span: tuple) -> str:
+    inside = f"m WHERE {between('start_at', span)}"
+    return f"""SELECT 'PAIR' AS kind, src || ' ' || dst AS object_id FROM {inside} UNION SELECT 'EDGE', event_id || '-' || dst FROM {inside}
+UNION SELECT 'NODE', src FROM {inside} UNION SELECT 'NODE', dst FROM {inside} UNION SELECT 'NODE', CAST(event_id AS VARCHAR) FROM {inside}"""
+
+
+@query(f"""WITH {MET}, a AS ({_in_snapshot(QUARTER)}), z AS ({_in_snapshot(NEXT)})
+SELECT kind, object_id, 'NEW' AS change FROM z ANTI JOIN a USING (kind, object_id) UNION ALL SELECT kind, object_id, 'GONE' FROM a ANTI JOIN z USING (kind, object_id)""")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes, edges and pairs that came or went between two quarters."""
+    events = stored(views.interactions(spark, sf_dir), "interactions")
+    return temporal.snapshot_changes(events, views.interaction_edges(spark, sf_dir), *((lit(a), lit(z)) for a, z in (QUARTER, NEXT)))
+
+
+KINDS = "b AS (SELECT event_id, ts, 'T-' || event_type AS src, CAST(user_id AS VARCHAR) AS dst FROM events)"
+
+
+@query(f"""WITH {KINDS}, {peak_sql("b", "src, dst", "ts", TARGET, BASELINE, WIDE_MINUTES)}
+SELECT dst AS src, src AS dst, peak_start, CAST(peak_count AS BIGINT) AS peak_count, round(score, 6) AS score, {SEVERITY} FROM f WHERE score > 0 AND peak_count >= 3""")
+def user_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with a burst of three or more events of a kind within five days."""
+    events = views.user_events(spark, sf_dir).withColumn("target_entity_id", F.concat(F.lit("T-"), "event_type"))
+    found = anomaly.interaction_bursts(events, TARGET, BASELINE, WIDE_MINUTES)
+    return found.select("src", "dst", F.col("peak_start").cast("timestamp_ntz"), "peak_count", F.round("score", 6).alias("score"), "severity")
+
+
 MOMENT = dt.datetime(1998, 2, 1)
 
 

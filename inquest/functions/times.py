@@ -79,20 +79,34 @@ def bucket(at: Column, minutes: int) -> Column:
     return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(size)))
 
 
+def _day(y: Column, m: Column, d: Column) -> Column:
+    return F.try_to_timestamp(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
+
+
+def _full_year(year: Column) -> Column:
+    """Two-digit years from 69 on are of the 1900s."""
+    return F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(year.try_cast("int") >= 69, "19").otherwise("20"), year))
+
+
 def case_date(text: Column) -> Column:
-    """A date from the forms seen in case files: Y-M-D, D-M-Y, M-D-Y, D-M-y, with '-', '/' or '.'. Null for others.
+    """The first date in a text, in one of the forms seen in case files: Y-M-D, D-M-Y, M-D-Y, D-M-y, with '-', '/' or '.'. Null for others.
 
-    Day first is tried before month first; two-digit years from 69 on are of the 1900s.
+    Day first is tried before month first.
     """
-    s = F.regexp_replace(F.trim(text), "[/.]", "-")
-    pad = lambda i, p: F.lpad(F.regexp_extract(s, p, i), 2, "0")
-    long_year, year_first, short_year = r"^(\d{1,2})-(\d{1,2})-(\d{4})$", r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})-(\d{1,2})-(\d{2})$"
-    made = lambda y, m, d: F.try_to_timestamp(F.concat_ws("-", y, m, d), F.lit("yyyy-MM-dd")).cast("date")
-    year = F.regexp_extract(s, short_year, 3)
-    century = F.concat(F.when(year.try_cast("int") >= 69, "19").otherwise("20"), year)
+    s = F.regexp_replace(F.regexp_extract(text, r"(\d{1,4})[-/.](\d{1,2})[-/.](\d{1,4})", 0), "[/.]", "-")
+    year_first, year_last = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})-(\d{1,2})-(\d{4}|\d{2})$"
+    of = lambda i, p: F.regexp_extract(s, p, i)
+    year = _full_year(of(3, year_last))
     return F.coalesce(
-        F.when(s.rlike(year_first), made(F.regexp_extract(s, year_first, 1), pad(2, year_first), pad(3, year_first))),
-        F.when(s.rlike(long_year), made(F.regexp_extract(s, long_year, 3), pad(2, long_year), pad(1, long_year))),
-        F.when(s.rlike(long_year), made(F.regexp_extract(s, long_year, 3), pad(1, long_year), pad(2, long_year))),
-        F.when(s.rlike(short_year), made(century, pad(2, short_year), pad(1, short_year))),
+        F.when(s.rlike(year_first), _day(of(1, year_first), of(2, year_first), of(3, year_first))),
+        F.when(s.rlike(year_last), _day(year, of(2, year_last), of(1, year_last))),
+        F.when(s.rlike(r"-\d{4}$") & s.rlike(year_last), _day(year, of(1, year_last), of(2, year_last))),
     )
+
+
+def flexible_date(text: Column) -> Column:
+    """A date by its digits, '/' and '-' alone, other signs left out: D/M/Y, D-M-Y, the same with two digits of the year, Y-M-D, Y/M/D. Null for others."""
+    s = F.regexp_replace(text, "[^0-9/-]", "")
+    year_last, year_first = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{4}|\d{2})$", r"^(\d{4})([/-])(\d{1,2})\2(\d{1,2})$"
+    of = lambda i, p: F.regexp_extract(s, p, i)
+    return F.coalesce(F.when(s.rlike(year_last), _day(_full_year(of(4, year_last)), of(3, year_last), of(1, year_last))), F.when(s.rlike(year_first), _day(of(1, year_first), of(3, year_first), of(4, year_first))))

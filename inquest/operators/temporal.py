@@ -80,6 +80,18 @@ def delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return changes.select(*before.columns, F.when(F.col("seen") == 2, "NEW").otherwise("GONE").alias("change"))
 
 
+def snapshot_changes(events: DataFrame, edges: DataFrame, before: tuple[Column, Column], after: tuple[Column, Column]) -> DataFrame:
+    """All that came or went between two windows: kind (NODE, EDGE, PAIR), object_id (of a pair its two ids), change (NEW, GONE)."""
+
+    def seen(start: Column, stop: Column) -> DataFrame:
+        of = lambda rows, kind, ident: rows.select(F.lit(kind).alias("kind"), ident.alias("object_id"))
+        nodes, links = snapshot_nodes(events, edges, start, stop), snapshot_edges(events, edges, start, stop)
+        pairs = of(active_pairs(edges, start, stop), "PAIR", F.concat_ws(" ", "src", "dst"))
+        return of(nodes, "NODE", F.col("node_id").cast("string")).unionByName(of(links, "EDGE", F.col("edge_id").cast("string"))).unionByName(pairs)
+
+    return delta(seen(*before), seen(*after))
+
+
 def snapshot_counts(events: DataFrame, edges: DataFrame, start: Column, stop: Column) -> DataFrame:
     """One row about a snapshot: its events, entities, edges with a date and without one, and pairs."""
     kept = edges.join(snapshot_edges(events, edges, start, stop), "edge_id", "left_semi")

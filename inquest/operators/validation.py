@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inquest.functions.times import case_date
+from inquest.functions.times import flexible_date
 
 REVIEW, MOST_FLAGS, ESCALATION_MARGIN = 0.85, 2, 0.10
 
@@ -26,7 +26,7 @@ def _text(*parts: str) -> Column:
 
 def _date(*labels: str) -> Column:
     hit = F.filter(F.col("dates"), lambda d: F.lower(d["label"]).rlike("|".join(labels)))
-    return case_date(F.try_element_at(hit, F.lit(1))["value"])
+    return flexible_date(F.try_element_at(hit, F.lit(1))["value"])
 
 
 def _witnesses() -> Column:

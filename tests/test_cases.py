@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inquest.functions.text import person_name
+from inquest.functions.times import case_date, flexible_date
 from inquest.operators import crossdoc, review
 
 PARTIES = "case_id string, document_id string, ord int, pos int, name string, role string"
@@ -116,3 +117,17 @@ def test_contradictions_stay_in_their_case(spark, monkeypatch):
     placed = sorted((r.place, r.filename, r.value) for r in review.contradiction_observations(seen, report).where("key = 'case_reference'").collect())
     assert placed == [(1, "f1", "12-24"), (2, "f2", "12/24"), (3, "f3", "13/24")]
     assert review.contradiction_report(seen.where("case_id = 'd'")).count() == 0
+
+
+DATES = {
+    "05/03/2024": (2024, 3, 5), "5-3-2024": (2024, 3, 5), "05/03/24": (2024, 3, 5), "05-03-69": (1969, 3, 5), "2024-03-05": (2024, 3, 5), "2024/3/5": (2024, 3, 5), "on: 05-03-2024.": (2024, 3, 5),
+    "31/02/2024": None, "05/03-2024": None, "05.03.2024": None, "": None, "12/31/2024": None, "5 March": None,
+}
+
+
+def test_flexible_dates(spark):
+    rows = spark.createDataFrame([(k,) for k in DATES], "t string").select("t", flexible_date(F.col("t")).alias("d")).collect()
+    assert {r.t: (r.d.year, r.d.month, r.d.day) if r.d else None for r in rows} == DATES
+    found = {"seen on 5.3.2024 at noon": (2024, 3, 5), "12/31/2024": (2024, 12, 31), "1-2-03": (2003, 2, 1), "123-4-2024": None, "2024-01-123": None, "none": None, "1/2/345": None}
+    rows = spark.createDataFrame([(k,) for k in found], "t string").select("t", case_date(F.col("t")).alias("d")).collect()
+    assert {r.t: (r.d.year, r.d.month, r.d.day) if r.d else None for r in rows} == found
