@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inquest.catalog.registry import query
-from inquest.operators import crossdoc, leaves, resolution, review
+from inquest.operators import crossdoc, display, leaves, resolution, review
 from inquest.storage import stored, table
 
 
@@ -157,3 +157,11 @@ def case_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few sentences about each customer's case."""
     c = order_cases(spark, sf_dir)
     return crossdoc.summaries(c["documents"], c["people"], c["dates"], c["money"], c["flags"]).select("case_id", "confidence", "summary")
+
+
+@query("""WITH d AS (SELECT o_custkey AS case_id, regexp_replace(o_orderpriority, '^..', '') AS word, count(*) AS n_documents FROM orders GROUP BY ALL),
+c AS (SELECT case_id, 'Clerk ' || array_to_string(list_transform(string_split(word, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS person, n_documents FROM d)
+SELECT case_id, person, n_documents, row_number() OVER (PARTITION BY case_id ORDER BY n_documents DESC, person) AS rank FROM c QUALIFY rank <= 8""")
+def dossier_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The persons that the dossier of each case names: a report."""
+    return display.dossier_persons(order_cases(spark, sf_dir)["people"]).select("case_id", "person", "n_documents", "rank")

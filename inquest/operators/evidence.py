@@ -94,3 +94,9 @@ def build(entities: DataFrame, events: DataFrame, relationships: DataFrame, clus
     issues = _issues(lost, "error", "DANGLING_RELATIONSHIP").unionByName(_issues(whole.where("source_entity = target_entity"), "warning", "COLLAPSED_SELF_RELATIONSHIP"))
     edges = whole.where("source_entity <> target_entity").select(F.col("id").alias("edge_id"), F.col("source_entity").alias("source_id"), F.col("target_entity").alias("target_id"), "relationship_type", "confidence")
     return nodes, edges, issues
+
+
+def to_records(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The graph as records: kind (node or edge), id, record (JSON of all columns, nulls too)."""
+    whole = lambda rows, kind, ident: rows.select(F.lit(kind).alias("kind"), F.col(ident).cast("string").alias("id"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    return whole(nodes, "node", "node_id").unionByName(whole(edges, "edge", "edge_id"))
