@@ -32,7 +32,7 @@ def test_contract_of_documents_and_case(fields):
     happened = contract.events(fields, found).cache()
     related = contract.relationships(fields, found, happened).cache()
     assert _rows(found, "id", "type", "normalized_name", "role") == [
-        ("ENT-d1-01", "PERSON", "Asha Rao", "complainant"), ("ENT-d1-02", "PERSON", "Vik Sen", "accused"), ("ENT-d1-03", "ACCOUNT", "12 34", "participant"),
+        ("ENT-d1-01", "PERSON", "Asha Rao", "complainant"), ("ENT-d1-02", "PERSON", "Vik Sen", "accused"), ("ENT-d1-03", "ACCOUNT", "12 34", "participant"), ("ENT-d1-04", "LOCATION", "", "participant"),
         ("ENT-d2-01", "PERSON", "Asha Rao", "complainant"), ("ENT-d2-02", "ACCOUNT", "998877", "victim_account"), ("ENT-d2-03", "ORGANIZATION", "Airport", "police_jurisdiction"),
     ]
     assert _rows(happened, "id", "type", "timestamp", "currency") == [("EVT-d1-01", "FINANCIAL_FRAUD", "2024-01-05", "USD"), ("EVT-d1-03", "ARREST", "unknown", "USD"), ("EVT-d2-01", "INCIDENT", None, "INR")]
@@ -41,11 +41,27 @@ def test_contract_of_documents_and_case(fields):
         ("REL-d1-05", "ENT-d1-01", "EVT-d1-03", "VICTIM_OF"), ("REL-d1-06", "ENT-d1-02", "EVT-d1-03", "ACCUSED_IN"),
     ]
     people, told, links = contract.case_contract(found, happened, related)
-    assert "ENT-d2-01" not in {r.id for r in people.collect()} and people.count() == 5
+    assert "ENT-d2-01" not in {r.id for r in people.collect()} and people.count() == 6
     assert _rows(told.where("document_id = 'd2'"), "source_entity") == [("ENT-d1-01",)]
     assert _rows(links.where("document_id = 'd2'"), "source_entity", "target_entity") == [("ENT-d1-01", "ENT-d2-02"), ("ENT-d1-01", "EVT-d2-01")]
     assert _rows(contract.quality_gates(fields), "gate", "outcome") == [("rule:gate", "PASSED")]
     assert contract.entities(fields.where("false")).count() == 0
+    of = {r.id: r for r in found.collect()}
+    assert of["ENT-d1-01"].attributes == {"raw_field_name": "party:complainant_1"} and tuple(of["ENT-d1-01"].source) == ("d1", "d1", None, 1, None, "Mr. asha rao")
+    assert of["ENT-d2-02"].attributes == {"inferred_from": "incident_narrative", "bank_branch": "Airport Branch"} and of["ENT-d2-02"].source.text_span.startswith("a/c no. 998877")
+    said = {r.id: (r.attributes, r.source.text_span) for r in happened.collect()}
+    assert said == {
+        "EVT-d1-01": ({"total_amount": "1000.5", "currency": "USD", "raw_label": "date:occurrence"}, "05-01-2024"), "EVT-d1-03": ({"raw_label": "date:arrest"}, "unknown"),
+        "EVT-d2-01": ({"total_amount": None, "currency": "INR"}, "Money left a/c no. 998877 near P.S. airport"),
+    }
+    why = {r.id: r.evidence for r in related.where("document_id = 'd1'").collect()}
+    assert why["REL-d1-01"] == "Bank account registered under complainant name" and why["REL-d1-03"] == "Accused implicated in event Incident Occurrence / Fraudulent Transactions" and why["REL-d1-04"] == "Fraudulent amount debited from account ENT-d1-03"
+    located = fields.withColumn("filename", F.lit("f.pdf")).withColumn("file_hash_sha256", F.lit("h")).withColumn("bounding_box", F.struct(*(F.when(F.col("pos") > 0, 2).alias(k) for k in "xywh")))
+    boxes = {r.id: (r.source.filename, r.source.file_hash_sha256, r.source.bounding_box and r.source.bounding_box.w) for r in contract.entities(located).collect()}
+    assert boxes["ENT-d1-01"] == ("f.pdf", "h", None) and boxes["ENT-d1-02"] == ("f.pdf", "h", 2.0) and boxes["ENT-d2-02"] == ("f.pdf", "h", None)
+    spark = fields.sparkSession
+    docs = spark.createDataFrame([("c", "d1", "f.pdf", "h", "fir_report", None, ["x", "y"]), ("c", "d2", "g.pdf", "i", "other", 0.5, None)], "case_id string, document_id string, filename string, file_hash_sha256 string, doc_type string, overall_confidence double, flags array<string>")
+    assert {r.document_id: (r.overall_confidence, r.validation_flags_count, r.quality_gates) for r in contract.audit_chain(fields, docs).collect()} == {"d1": (0.9, 2, {"rule:gate": "PASSED"}), "d2": (0.5, 0, {})}
 
 
 def test_provenance(spark, fields):
