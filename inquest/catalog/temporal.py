@@ -181,14 +181,15 @@ o AS (SELECT DISTINCT src, dst FROM m WHERE {between('start_at', YEAR_BEFORE)}),
 @query(f"WITH {NOVEL}, f AS (SELECT *, least(1.0, n / 2.0) AS score FROM x) SELECT src, dst, n AS target_count, score, {SEVERITY} FROM f")
 def novel_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that first meet in the target half-year."""
-    return anomaly.novel_relationships(views.interactions(spark, sf_dir), YEAR, YEAR_BEFORE)
+    return anomaly.novel_relationships(stored(views.interactions(spark, sf_dir), "interactions"), YEAR, YEAR_BEFORE)
 
 
 @query(f"""WITH {MET}, {peak_sql("m", "src, dst", "start_at", YEAR, YEAR_BEFORE, WIDE_MINUTES)}
 SELECT src, dst, peak_start, CAST(peak_count AS BIGINT) AS peak_count, round(score, 6) AS score, {SEVERITY} FROM f WHERE score > 0 AND peak_count >= 1""")
 def interaction_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs' busiest five days of the half-year against the years before (with any number of events: bursts of three are rare here)."""
-    found = anomaly.peaks(anomaly.by_pair(views.interactions(spark, sf_dir)), ["src", "dst"], YEAR, YEAR_BEFORE, WIDE_MINUTES).where("score > 0")
+    met = stored(views.interactions(spark, sf_dir), "interactions")
+    found = anomaly.peaks(anomaly.by_pair(met), ["src", "dst"], YEAR, YEAR_BEFORE, WIDE_MINUTES).where("score > 0")
     return found.select("src", "dst", F.col("peak_start").cast("timestamp_ntz"), "peak_count", F.round("score", 6).alias("score"), anomaly.severity(F.col("score")).alias("severity"))
 
 
@@ -203,7 +204,7 @@ SELECT t.src, t.dst, x.part AS src_component, y.part AS dst_component, t.n AS ta
 FROM t JOIN c x ON t.src = x.a JOIN c y ON t.dst = y.a ANTI JOIN o USING (src, dst) WHERE x.part <> y.part""")
 def cross_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of the half-year between components of the network of the month before."""
-    events = views.interactions(spark, sf_dir)
+    events = stored(views.interactions(spark, sf_dir), "interactions")
     old = anomaly.pair_totals(events, MONTH_BEFORE)
     parts = components(old.select(F.col("src").alias("a"), F.col("dst").alias("b")))
     nodes = events.select(F.explode(F.array("source_entity_id", "target_entity_id")).alias("node_id")).distinct()

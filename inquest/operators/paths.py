@@ -59,13 +59,18 @@ def shortest_path(pairs: DataFrame, source: str, target: str) -> list[str]:
     if source == target:
         return [source]
     found = stored(search(pairs, source, target), "paths")
-    path = [target]
-    while path[-1] != source:
-        row = found.where(F.col("node_id") == path[-1]).select("parent").first()
-        if row is None:
-            return []
-        path.append(row.parent)
-    return path[::-1]
+    end = found.where(F.col("node_id") == target).select("distance").first()
+    if end is None:
+        return []
+    # Back along the parents: each round doubles the steps, so a long way takes few rounds.
+    way = pairs.sparkSession.createDataFrame([(target, 0)], "node_id string, step int")
+    jump, step = found.where("parent is not null").select("node_id", "parent"), 1
+    while step <= end.distance:
+        way = stored(way.unionByName(way.join(jump, "node_id").select(F.col("parent").alias("node_id"), (F.col("step") + step).alias("step"))), "way")
+        step *= 2
+        if step <= end.distance:
+            jump = stored(jump.join(jump.select(F.col("node_id").alias("parent"), F.col("parent").alias("up")), "parent").select("node_id", F.col("up").alias("parent")), "jumps")
+    return [r.node_id for r in sorted(way.collect(), key=lambda r: -r.step)]
 
 
 def path_support(pairs: DataFrame, path: list[str]) -> DataFrame:

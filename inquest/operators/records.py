@@ -44,8 +44,12 @@ def remapped(rows: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
 
 
 def canonical_ids(entities: DataFrame, keys: list[str], ident: str) -> DataFrame:
-    """id, canonical_id: entities with equal keys share the least id."""
-    return entities.groupBy(*keys).agg(F.min(ident).alias("canonical_id"), F.collect_list(ident).alias("_ids")).select(F.explode("_ids").alias("id"), "canonical_id")
+    """id, canonical_id: entities with equal keys share the least id. The least ids are summed up before the shuffle and joined back: no group is gathered."""
+    least = entities.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(ident).alias("canonical_id"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return entities.join(least, same).select(F.col(ident).alias("id"), "canonical_id")
 
 
 def dangling(edges: DataFrame, nodes: DataFrame, end: str, code: str) -> DataFrame:

@@ -29,11 +29,16 @@ def latest(versions: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def updated(versions: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
-    """New versions of the records that `changes` (key, version and changed columns) names: unchanged columns are those of the latest version."""
+    """New versions of the records that `changes` (key, version and changed columns) names: unchanged columns are those of the latest version.
+
+    A null in `changes` leaves a column as it was. Columns that are to become null are named in `cleared`, an array of names.
+    """
     now = latest(versions, key, version)
-    changed = [c for c in changes.columns if c not in (key, version)]
-    new = changes.select(key, F.col(version).alias("_version"), *(F.col(c).alias(f"_{c}") for c in changed))
-    value = lambda c: F.col("_version") if c == version else F.coalesce(f"_{c}", c) if c in changed else F.col(c)
+    changed = [c for c in changes.columns if c not in (key, version, "cleared")]
+    emptied = F.coalesce("cleared", F.array().cast("array<string>")) if "cleared" in changes.columns else F.array().cast("array<string>")
+    new = changes.select(key, F.col(version).alias("_version"), emptied.alias("_cleared"), *(F.col(c).alias(f"_{c}") for c in changed))
+    kept = lambda c: F.coalesce(f"_{c}", c) if c in changed else F.col(c)
+    value = lambda c: F.col("_version") if c == version else F.col(c) if c == key else F.when(~F.array_contains("_cleared", F.lit(c)), kept(c))
     return now.join(new, key).select(*(value(c).alias(c) for c in versions.columns))
 
 

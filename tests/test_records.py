@@ -82,6 +82,8 @@ def test_store(spark, tmp_path):
     store.append(versions, path)
     store.append(store.updated(versions, spark.createDataFrame([("a", 3, "w")], "id string, v int, status string"), "id", "v"), path)
     assert _rows(store.latest(spark.read.parquet(path), "id", "v").where("id = 'a'"), "v", "status", "kept") == [(3, "w", "p")]
+    cleared = store.updated(versions, spark.createDataFrame([("a", 3, None, ["kept"]), ("b", 2, "n", None)], "id string, v int, status string, cleared array<string>"), "id", "v")
+    assert _rows(cleared, "id", "v", "status", "kept") == [("a", 3, "y", None), ("b", 2, "n", None)]
     with pytest.raises(store.NotFound):
         store.by_id(versions, "id", "c")
     assert store.by_id(versions, "id", "b").count() == 1
