@@ -8,6 +8,8 @@ a section stays empty.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,9 +200,8 @@ def extracted(docs: DataFrame, text: str = "text") -> DataFrame:
     made = ("document_type", *SECTIONS, "raw_text", "notes_on_legibility", "overall_confidence", "issues")
     kept = [c for c in docs.columns if c != text and c not in made]
     rows = parsed(docs.select(*kept, F.coalesce(text, F.lit("")).alias("_text")), "_text")
-    rows = rows.withColumn("_mined", mined("_text"))
     v, header = F.col("v"), ("document_type", "overall_confidence", "raw_text", "notes_on_legibility")
-    rows = rows.select(*kept, "_text", "_mined", "_json", v.isNull().alias("_none"), *(_typed(_at(v, k)).alias(f"_v_{k}") for k in (*SECTIONS, *header)))
+    rows = rows.select(*kept, "_text", "_json", v.isNull().alias("_none"), *(_typed(_at(v, k)).alias(f"_v_{k}") for k in (*SECTIONS, *header)))
     of = {k: F.col(f"_v_{k}") for k in (*SECTIONS, *header)}
     sure = F.when(_is(of["overall_confidence"], f"{_NUMBER}|{_TEXT}"), _as(of["overall_confidence"], "string").try_cast("double"))
     given = {k: x["v"].isNotNull() for k, x in of.items()}
@@ -209,13 +210,16 @@ def extracted(docs: DataFrame, text: str = "text") -> DataFrame:
     wrong += [F.when(given[k] & ~_is(of[k], _TEXT), F.lit(k)) for k in ("raw_text", "notes_on_legibility")]
     texts = {k: F.when(_is(of[k], _TEXT), _as(of[k], "string")).alias(f"_{k}") for k in ("document_type", "raw_text", "notes_on_legibility")}
     entries = [_read(of[s], F.col("_json"), s).alias(f"_{s}") for s in SECTIONS]
-    rows = rows.select(*kept, "_text", "_mined", "_none", F.array_compact(F.array(*wrong)).alias("_wrong"), sure.alias("_sure"), *texts.values(), *entries)
+    rows = rows.select(*kept, "_text", "_none", F.array_compact(F.array(*wrong)).alias("_wrong"), sure.alias("_sure"), *texts.values(), *entries)
     rows = rows.withColumn("_whole", ~F.col("_none") & (F.size("_wrong") == 0))
     whole, text_ = F.col("_whole"), F.col("_text")
+    filled = {s: F.exists(F.col(f"_{s}"), lambda x: x["value"].isNotNull()) for s in SECTIONS}
+    # Texts that have something in each section do not go to Python.
+    rows = rows.withColumn("_mined", mined(F.when(~(whole & reduce(lambda a, b: a & b, filled.values())), text_)))
 
     def chosen(s: str) -> Column:
         own = F.transform(F.filter(F.col(f"_{s}"), lambda x: x["value"].isNotNull()), lambda x: x["value"])
-        return F.when(whole & F.exists(F.col(f"_{s}"), lambda x: x["value"].isNotNull()), own).otherwise(_as_items(F.col("_mined")[s], s)).alias(s)
+        return F.when(whole & filled[s], own).otherwise(_as_items(F.col("_mined")[s], s)).alias(s)
 
     def is_json(t: Column) -> Column:
         return F.startswith(t, F.lit("{")) | F.contains(t, F.lit('"document_type"'))

@@ -31,17 +31,20 @@ FIELDS = {"police station": "police_station", "thana": "police_station", "distri
 NAMED = 20
 
 
-def semantic_key(field: Column) -> Column:
-    """What a field is about, whatever it is called: a case reference, a place, a date, an identifier; null for notes, summaries, rules and other fields."""
-    raw = compact(field)
-    label = F.trim(F.when(F.contains(raw, F.lit(":")), F.regexp_replace(raw, "^[^:]*:", "")).otherwise(raw))
-    words = F.trim(F.regexp_replace(label, "[^a-z0-9]+", " "))
+def semantic_keys(rows: DataFrame, field: str) -> DataFrame:
+    """Names of fields with `key`: what a field is about, whatever it is called. Null for notes, summaries, rules and other fields."""
+    raw, label, words = F.col("_raw"), F.col("_label"), F.col("_words")
+    rows = rows.withColumn("_raw", compact(F.col(field)))
+    rows = rows.withColumn("_label", F.when(F.contains(raw, F.lit(":")), F.ltrim(F.substring(raw, F.locate(":", raw) + 1, F.length(raw)))).otherwise(raw))
+    rows = rows.withColumn("_words", F.trim(F.regexp_replace("_label", "[^a-z0-9]+", " ")))
     some = lambda group: F.greatest(*(F.contains(label, F.lit(w)) for w in group))
-    found = F.when(label.rlike("^(?:notes|summary|rule)"), F.lit(None).cast("string")).when(some(REFERENCE[0]) & some(REFERENCE[1]), "case_reference")
+    apart = F.startswith(label, F.lit("notes")) | F.startswith(label, F.lit("summary")) | F.startswith(label, F.lit("rule"))
+    found = F.when(apart, F.lit(None).cast("string")).when(some(REFERENCE[0]) & some(REFERENCE[1]), "case_reference")
     for word, key in FIELDS.items():
         found = found.when(F.contains(label, F.lit(word)), key)
     found = found.when(F.contains(label, F.lit("fsl reference")) & ~F.contains(label, F.lit("crime")), "fsl_reference").when(F.contains(label, F.lit("date")), F.concat(F.lit("date:"), words))
-    return found.when(raw.rlike("^(?:id|identifier):"), F.concat(F.lit("identifier:"), words))
+    found = found.when(F.startswith(raw, F.lit("id:")) | F.startswith(raw, F.lit("identifier:")), F.concat(F.lit("identifier:"), words))
+    return rows.withColumn("key", found).drop("_raw", "_label", "_words")
 
 
 def contradictions(observations: DataFrame, *by: str) -> DataFrame:
@@ -55,9 +58,9 @@ def contradictions(observations: DataFrame, *by: str) -> DataFrame:
 
 
 def observed(fields: DataFrame) -> DataFrame:
-    """Fields of documents (case_id, document_id, filename, ord, pos, field_name, field_value) that may contradict each other: the same with key and value."""
-    rows = fields.withColumn("key", semantic_key(F.col("field_name"))).withColumn("value", F.trim("field_value"))
-    return rows.where("key is not null and value <> ''")
+    """Fields of documents (case_id, document_id, filename, ord, pos, field_name, field_value) that may contradict each other: the same with key and value. Keys are made once for each distinct name."""
+    keys = stored(semantic_keys(fields.select("field_name").distinct(), "field_name"), "field-keys").where("key is not null")
+    return fields.withColumn("value", F.trim("field_value")).where("value <> ''").join(keys, "field_name").select(*fields.columns, "key", "value")
 
 
 def contradiction_report(seen: DataFrame) -> DataFrame:

@@ -100,7 +100,8 @@ KEYS = {
 
 
 def test_semantic_keys(spark):
-    rows = spark.createDataFrame([(k,) for k in KEYS], "f string").select("f", review.semantic_key(F.col("f")).alias("key")).collect()
+    rows = spark.createDataFrame([(k,) for k in KEYS], "f string")
+    rows = review.semantic_keys(rows, "f").collect()
     assert {r.f: r.key for r in rows} == KEYS
 
 
