@@ -132,3 +132,9 @@ def test_flexible_dates(spark):
     found = {"seen on 5.3.2024 at noon": (2024, 3, 5), "12/31/2024": (2024, 12, 31), "1-2-03": (2003, 2, 1), "123-4-2024": None, "2024-01-123": None, "none": None, "1/2/345": None}
     rows = spark.createDataFrame([(k,) for k in found], "t string").select("t", case_date(F.col("t")).alias("d")).collect()
     assert {r.t: (r.d.year, r.d.month, r.d.day) if r.d else None for r in rows} == found
+
+
+def test_names_of_many_cases_are_joined_by_sorting(spark):
+    names = spark.range(0, 400).select(F.col("id").alias("case_id"), F.explode(F.array(F.lit("Clerk High"), F.lit("Clerk High Street"))).alias("low"))
+    plan = crossdoc._contained(names)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
