@@ -4,6 +4,7 @@ import random
 from collections import deque
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +152,22 @@ def test_shortest_paths(graph):
 def test_long_ways_are_found(spark):
     pairs = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(67)], "src string, dst string")
     assert len(paths.shortest_path(pairs, "000", "067")) == 68
+
+
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_sources_are_searched_together(monkeypatch, dense):
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)})
+    ends = np.array(pairs + [(b, a) for a, b in pairs])
+    ends = ends[np.lexsort((ends[:, 1], ends[:, 0]))]
+    start, to, sources = np.searchsorted(ends[:, 0], np.arange(41)), ends[:, 1], np.arange(40)
+    monkeypatch.setattr(centrality, "DENSE", dense)
+    one, single = np.zeros(40), []
+    for s in sources:
+        single += centrality._from_sources(start, to, sources[s : s + 1], 40, one)
+    calls, plain = [], centrality._gathered
+    monkeypatch.setattr(centrality, "CHUNK", 7)
+    monkeypatch.setattr(centrality, "_gathered", lambda *a: calls.append(1) or plain(*a))
+    together = np.zeros(40)
+    assert centrality._from_sources(start, to, sources, 40, together) == pytest.approx(single)
+    assert together == pytest.approx(one) and len(calls) < 40
