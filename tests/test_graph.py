@@ -171,3 +171,22 @@ def test_sources_are_searched_together(monkeypatch, dense):
     together = np.zeros(40)
     assert centrality._from_sources(start, to, sources, 40, together) == pytest.approx(single)
     assert together == pytest.approx(one) and len(calls) < 40
+
+
+def test_pagerank_reads_a_hub_as_several_lists(spark, monkeypatch):
+    monkeypatch.setattr(centrality, "MOST_LISTED", 4)
+    monkeypatch.setattr(centrality, "WAYS_IN_TASK", 10)
+    rng, nodes = random.Random(8), [f"N{k:02d}" for k in range(24)]
+    pairs = sorted({tuple(sorted(rng.sample(nodes[1:20], 2))) for _ in range(20)} | {("N00", n) for n in nodes[1:20]})
+    near, read = _near(pairs, nodes), []
+    lists = centrality._lists
+    monkeypatch.setattr(centrality, "_lists", lambda *a: read.append(lists(*a)) or read[0])
+    rank = dict.fromkeys(nodes, 1 / 24)
+    for _ in range(7):
+        lone = sum(rank[n] for n in nodes if not near[n])
+        rank = {n: 0.15 / 24 + 0.85 * (sum(rank[m] / len(near[m]) for m in near[n]) + lone / 24) for n in nodes}
+    frame, ids = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(n,) for n in nodes], "node_id string")
+    got = {r.node_id: r.pagerank for r in centrality.pagerank(frame, ids, rounds=7, tolerance=0).collect()}
+    assert got == {n: pytest.approx(rank[n], rel=1e-12) for n in nodes}
+    rows = read[0].collect()
+    assert sum(len(r.to) for r in rows) == 2 * len(pairs) and max(len(r.to) for r in rows) < 19 and len(rows) > 20
