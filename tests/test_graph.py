@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inquest.operators import centrality, communities, numbering, paths
+from inquest.operators import centrality, communities, numbering, paths, projection
 
 
 def _near(pairs, nodes):
@@ -190,3 +190,11 @@ def test_pagerank_reads_a_hub_as_several_lists(spark, monkeypatch):
     assert got == {n: pytest.approx(rank[n], rel=1e-12) for n in nodes}
     rows = read[0].collect()
     assert sum(len(r.to) for r in rows) == 2 * len(pairs) and max(len(r.to) for r in rows) < 19 and len(rows) > 20
+
+
+def test_isolates_hold_nodes_and_not_pairs(graph):
+    nodes, pairs, frame, ids = graph
+    found = projection.isolates(frame, ids)
+    assert {r.node_id for r in found.collect()} == set(nodes) - {n for p in pairs for n in p}
+    # the table that the join builds has a row for each linked node
+    assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
