@@ -34,8 +34,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, offsets=False).drop("text"), path)
+    coded = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     n_tokens = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return coded.select("doc_id", "lang", "source", n_tokens, "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -316,20 +316,35 @@ def encode_texts(texts: list[str], path: str, offsets: bool = True) -> Iterator[
             yield (ids, (opens[i:j] - begin).astype("<u4").tobytes()) if offsets else (ids,)
 
 
-def _mapped(df: DataFrame, column: str, names: list[str], make: Callable[[list], Iterator[tuple]]) -> DataFrame:
-    """`df` with binary columns `names` that `make` derives from `column`, batch by batch."""
-    schema = StructType([*(f for f in df.schema if f.name not in names), *(StructField(n, BinaryType()) for n in names)])
-    kept = [f.name for f in schema][: -len(names)]
+def _mapped(df: DataFrame, column: str, names: list[str], *makes: Callable[[list], Iterator[tuple]], without: tuple[str, ...] = ()) -> DataFrame:
+    """`df` with binary columns `names` that `makes` derive batch by batch, the first from `column`, each other from the first of the columns before; columns in `without` are left out.
+
+    All of them run in one pass, so that a task needs one Python worker, not one for each.
+    """
+    kept = [f for f in df.schema if f.name not in (*names, *without)]
+    schema = StructType([*kept, *(StructField(n, BinaryType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = list(make(b.column(column).to_pylist()))
-            new = [pa.array([m[i] for m in made], pa.binary()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *new], names=[*kept, *names])
+            new, source = [], b.column(column)
+            for make in makes:
+                made = list(zip(*make(source.to_pylist())))
+                new += [pa.array(x, pa.binary()) for x in made]
+                source = new[-len(made)]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *new], names=schema.names)
 
     return in_arrow(df, run, schema)
 
 
+def _decoded(tokenizer: str) -> Callable[[list], Iterator[tuple[bytes]]]:
+    def make(rows: list) -> Iterator[tuple[bytes]]:
+        token = tokens(tokenizer).__getitem__
+        for x in rows:
+            yield (b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())),)
+
+    return make
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """`df` with `ids` and `offsets`, both binary arrays of little-endian unsigned 32-bit integers.
 
@@ -345,19 +360,18 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", offsets: bool = Tr
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids") -> DataFrame:
     """`df` with `decoded`, the bytes that the binary `ids` stand for (null: empty). Unknown ids raise IndexError."""
+    return _mapped(df, ids, ["decoded"], _decoded(tokenizer))
 
-    def make(rows: list) -> Iterator[tuple[bytes]]:
-        token = tokens(tokenizer).__getitem__
-        for x in rows:
-            yield (b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())),)
 
-    return _mapped(df, ids, ["decoded"], make)
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """`df` without its text but with `ids`, as `encode` gives them, and `decoded`, as `decode` gives it from these ids: one pass over the batches."""
+    made = df.withColumn(text, text_of(text))
+    return _mapped(made, text, ["ids", "decoded"], lambda texts: encode_texts(texts, tokenizer, False), _decoded(tokenizer), without=(text,))
 
 
 def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 of its encoded and again decoded text."""
-    coded = encode(docs.select("doc_id", "text"), tokenizer, offsets=False).select("doc_id", "ids")
-    return decode(coded, tokenizer).select(
+    return round_trip(docs.select("doc_id", "text"), tokenizer).select(
         F.col("doc_id").cast(LongType()).alias("doc_id"),
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -19,7 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from inquest.llm.common import in_arrow, some_rows, text_of
 
@@ -136,13 +136,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with `score` of each whole text (0 to 1, higher is better; null is empty). Rows stay as they are; no shuffle."""
     kept = [f for f in docs.schema if f.name not in ("score", "_text")]
+    # a text goes to Python once, not as it is and as it is read
+    sent = any(f.name == text and isinstance(f.dataType, StringType) for f in kept)
+    read = text if sent else "_text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = pa.array(model.scores(b.column("_text").to_pylist()), pa.float64())
+            made = pa.array(model.scores([x or "" for x in b.column(read).to_pylist()]), pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), made], names=[*(f.name for f in kept), "score"])
 
-    named = docs.select(*(f.name for f in kept), text_of(text).alias("_text"))
+    named = docs.select(*(f.name for f in kept), *([] if sent else [text_of(text).alias("_text")]))
     return in_arrow(named, run, StructType([*kept, StructField("score", DoubleType())]))
 
 

@@ -166,6 +166,20 @@ def test_quality(spark):
     assert sum(rows[r.doc_id].predicted == r.quality for r in known) >= 0.85 * len(known)
 
 
+def test_texts_go_to_python_once(spark):
+    """Pipeline: a task needs one worker for encoding and decoding, and a text is not sent both as it is and as it is read."""
+    docs = spark.createDataFrame([(1, "en", "web", "Two words, it's 12"), (2, "en", "web", None)], "doc_id long, lang string, source string, text string")
+    coded = byte_bpe.round_trip(docs, RANKS)
+    assert coded.columns == ["doc_id", "lang", "source", "ids", "decoded"]
+    assert coded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [bytes(r.decoded).decode() for r in coded.orderBy("doc_id").collect()] == ["Two words, it's 12", ""]
+    model = quality.Model(b"", b"", (), (), (0.0,))
+    scored = quality.score(docs, model)
+    assert "_text" not in scored._jdf.queryExecution().analyzed().toString()
+    assert [(r.text, r.score) for r in scored.orderBy("doc_id").collect()] == [("Two words, it's 12", 0.5), (None, 0.5)]
+    assert quality.score(docs.withColumn("text", docs.doc_id), model).count() == 2
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame(ODD, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (3, None), (None, 0)], "doc_id long, quality int")
