@@ -198,3 +198,23 @@ def test_isolates_hold_nodes_and_not_pairs(graph):
     assert {r.node_id for r in found.collect()} == set(nodes) - {n for p in pairs for n in p}
     # the table that the join builds has a row for each linked node
     assert "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_components_of_a_large_graph_are_searched_in_tasks(spark, monkeypatch):
+    """betweenness_network: a graph too large for the tasks as a whole goes to them by components; only a component that is too large is searched by joins."""
+    rng, pairs = random.Random(6), []
+    for k in range(5):
+        names = [f"N{k}{i:02d}" for i in range(14)]
+        pairs += sorted({tuple(sorted(rng.sample(names, 2))) for _ in range(20)})
+    hub = [("H00", f"H{i:02d}") for i in range(1, 30)]
+    nodes = sorted({n for p in pairs + hub for n in p} | {"lone"})
+    frame, ids = spark.createDataFrame(pairs + hub, "src string, dst string"), spark.createDataFrame([(n,) for n in nodes], "node_id string")
+    metrics = lambda: {r.node_id: (pytest.approx(r.betweenness_centrality), pytest.approx(r.closeness_centrality)) for r in centrality.path_centralities(frame, ids).collect()}
+    whole, joined, plain = metrics(), [], centrality._by_joins
+    assert set(whole) == set(nodes)
+    monkeypatch.setattr(centrality, "MOST_BROADCAST", 25)
+    monkeypatch.setattr(centrality, "_by_joins", lambda pairs, *a: joined.append(pairs.count()) or plain(pairs, *a))
+    for block in (1, centrality.BLOCK):
+        monkeypatch.setattr(centrality, "BLOCK", block)
+        assert {r.node_id: (r.betweenness_centrality, r.closeness_centrality) for r in centrality.path_centralities(frame, ids).collect()} == whole
+    assert joined == [29, 29]
